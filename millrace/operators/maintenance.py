@@ -144,7 +144,6 @@ def headline(frame: DataFrame, month: str) -> DataFrame:
         "low_confidence_extractions": F.count_if(F.col("extraction_confidence") < LOW_CONFIDENCE),
     }
     return frame.agg(
-        F.first(F.lit(month)).alias("__m"),
         *[(e if n == "interventions" else F.when(~empty, e)).alias(n) for n, e in figures.items()],
         F.when(empty, "No records for this month.").alias("note"),
     ).select(F.lit(month).alias("month"), *figures, "note")

@@ -149,16 +149,20 @@ def grouped_quantiles(
     keys: Sequence[str],
     value: str,
     fractions: Mapping[str, float],
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, plus the non-null count ``n``.
 
     Equal values are counted first, so only distinct values are ordered, and the
-    ordering of a large key is spread over ranges.
+    ordering of a large key is spread over ranges. ``sums`` adds plain sums per key
+    from the same pass; rows with a null value count there only.
     """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    keys, sums = list(keys), dict(sums or {})
+    rows = df.withColumn("__v", F.col(value))
     edges = range_edges(rows, ["__v"])
-    counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    counts = rows.groupBy(*keys, "__v").agg(
+        F.count("__v").alias("__c"), *[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()]
+    )
     ranked = running_totals(
         counts, keys, ["__v"], {"__before": F.col("__c")}, totals=True, edges=edges
     )
@@ -168,17 +172,15 @@ def grouped_quantiles(
         for end, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             hit = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c"))
             picks.append(F.max(F.when(hit, F.col("__v"))).alias(f"{name}_{end}"))
-    grouped = ranked.groupBy(*keys) if keys else ranked.groupBy()
-    found = grouped.agg(F.max("__before_total").alias("n"), *picks)
-    return found.select(
-        *keys,
-        "n",
-        *[
-            (
-                F.col(f"{name}_lo").cast("double")
-                + (F.col(f"{name}_hi") - F.col(f"{name}_lo")).cast("double")
-                * (F.lit(fraction) * (F.col("n") - 1) - F.floor(F.lit(fraction) * (F.col("n") - 1)))
-            ).alias(name)
-            for name, fraction in fractions.items()
-        ],
+    found = ranked.groupBy(*keys).agg(
+        F.max("__before_total").alias("n"),
+        *[F.sum(f"__s_{name}").alias(name) for name in sums],
+        *picks,
     )
+
+    def between(name: str, fraction: float) -> Column:
+        place = F.lit(fraction) * (F.col("n") - 1)
+        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return (low.cast("double") + (high - low).cast("double") * (place - F.floor(place))).alias(name)
+
+    return found.select(*keys, "n", *sums, *[between(n, f) for n, f in fractions.items()])

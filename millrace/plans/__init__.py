@@ -9,6 +9,7 @@ from millrace.plans.registry import CATALOG, Named
 FAMILIES = [
     "payments",
     "maintenance",
+    "supply",
 ]
 
 
