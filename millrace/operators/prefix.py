@@ -109,19 +109,24 @@ def running_totals(
     inclusive: bool = False,
     totals: bool = False,
     edges: Mapping[str, Sequence[float]] | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Per key and row, the sums over earlier rows (``inclusive`` adds the row itself).
 
     ``totals`` adds ``<name>_total`` over the whole key. Key columns must not be null.
+    ``source`` holds the same rows before any earlier running step; the range totals are
+    taken from it, so that a chain of steps does not evaluate its own past twice over.
     """
     keys = list(keys)
+    source = df if source is None else source
     if edges is None:
-        edges = range_edges(df, list(order)[:2])
+        edges = range_edges(source, list(order)[:2])
     tagged = with_ranges(df, order, edges)
+    summed = tagged if source is df else with_ranges(source, order, edges)
     spot = [*keys, _BUCKET, _SUB]
     across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = across.orderBy(_BUCKET, _SUB).rowsBetween(Window.unboundedPreceding, -1)
-    range_sums = tagged.groupBy(*spot).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    range_sums = summed.groupBy(*spot).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     offsets = range_sums.select(
         *spot,
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__off_{n}") for n in sums],

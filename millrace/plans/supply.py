@@ -118,6 +118,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
         ORDER[:2],
     )
     transit = F.col("actual_transit_days")
+    base = rows
     rows = history.prior_stats(
         rows,
         ["carrier"],
@@ -126,7 +127,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
         edges=edges,
     )
     rows = history.prior_stats(
-        rows, ["origin_warehouse"], ORDER, means={"warehouse_hist_mean_transit": transit}, edges=edges
+        rows, ["origin_warehouse"], ORDER, means={"warehouse_hist_mean_transit": transit}, edges=edges, source=base
     )
     rows = history.prior_median(
         rows,
@@ -136,6 +137,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
         "lane_hist_median_transit",
         count="lane_hist_shipments",
         edges=edges,
+        source=base,
     )
     rows = rows.withColumn("service_level_factor", mapped(F.col("service_level"), SERVICE_FACTORS, 1.0))
     return history.warmup_flag(rows, "dispatch_date")
@@ -148,9 +150,9 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     CAST(month(dispatch_ts) IN (1, 2) AS INTEGER) AS is_weather_season,
     CAST(isodow(dispatch_ts) >= 6 AS INTEGER) AS is_weekend_dispatch,
     CASE service_level WHEN 'express' THEN 0.72 WHEN 'standard' THEN 1.0 ELSE 1.35 END::DOUBLE AS service_level_factor,
-    round(avg(actual_transit_days) OVER {_PRIOR.format(k='carrier')}, 6) AS carrier_hist_mean_transit,
-    round(avg(CAST(late AS INTEGER)) OVER {_PRIOR.format(k='carrier')}, 6) AS carrier_hist_late_rate,
-    round(avg(actual_transit_days) OVER {_PRIOR.format(k='origin_warehouse')}, 6) AS warehouse_hist_mean_transit,
+    avg(actual_transit_days) OVER {_PRIOR.format(k='carrier')} AS carrier_hist_mean_transit,
+    avg(CAST(late AS INTEGER)) OVER {_PRIOR.format(k='carrier')} AS carrier_hist_late_rate,
+    avg(actual_transit_days) OVER {_PRIOR.format(k='origin_warehouse')} AS warehouse_hist_mean_transit,
     count(*) OVER {_PRIOR.format(k='lane')} AS lane_hist_shipments,
     quantile_cont(actual_transit_days, 0.5) OVER {_PRIOR.format(k='lane')} AS lane_hist_median_transit,
     CAST(dispatch_ts AS DATE) < CAST((SELECT min(dispatch_ts) FROM ship) AS DATE) + 60 AS in_warmup FROM ship""",
@@ -159,10 +161,7 @@ def shipment_features(spark: SparkSession, sf: str) -> DataFrame:
     return _features(spark, sf).select(
         "shipment_id", "dispatch_date", "dispatch_dow", "dispatch_month", "is_peak_season", "is_weather_season",
         "is_weekend_dispatch", "service_level_factor",
-        *[
-            F.round(c, 6).alias(c)
-            for c in ("carrier_hist_mean_transit", "carrier_hist_late_rate", "warehouse_hist_mean_transit")
-        ],
+        "carrier_hist_mean_transit", "carrier_hist_late_rate", "warehouse_hist_mean_transit",
         "lane_hist_shipments", "lane_hist_median_transit", "in_warmup",
     )
 
@@ -241,8 +240,7 @@ def predicted_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     LIVE + """, carr AS (SELECT carrier, avg(actual_transit_days) AS m, avg(CAST(late AS INTEGER)) AS r FROM done GROUP BY 1),
   ware AS (SELECT origin_warehouse, avg(actual_transit_days) AS m FROM done GROUP BY 1)
   SELECT shipment_id, coalesce(h.m, o.m) AS lane_hist_median_transit, coalesce(h.n, 0) AS lane_hist_shipments,
-    round(c.m, 6) AS carrier_hist_mean_transit, round(c.r, 6) AS carrier_hist_late_rate,
-    round(w.m, 6) AS warehouse_hist_mean_transit
+    c.m AS carrier_hist_mean_transit, c.r AS carrier_hist_late_rate, w.m AS warehouse_hist_mean_transit
   FROM live LEFT JOIN lane_hist h USING (lane) LEFT JOIN carr c USING (carrier) LEFT JOIN ware w USING (origin_warehouse)
     CROSS JOIN overall o""",
 )
@@ -250,10 +248,7 @@ def live_history_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = tracking.with_history(live(spark, sf), delivered(spark, sf))
     return rows.select(
         "shipment_id", "lane_hist_median_transit", "lane_hist_shipments",
-        *[
-            F.round(c, 6).alias(c)
-            for c in ("carrier_hist_mean_transit", "carrier_hist_late_rate", "warehouse_hist_mean_transit")
-        ],
+        "carrier_hist_mean_transit", "carrier_hist_late_rate", "warehouse_hist_mean_transit",
     )
 
 
