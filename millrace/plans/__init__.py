@@ -10,6 +10,8 @@ FAMILIES = [
     "payments",
     "maintenance",
     "supply",
+    "food",
+    "series",
 ]
 
 
