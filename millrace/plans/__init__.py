@@ -12,6 +12,7 @@ FAMILIES = [
     "supply",
     "food",
     "series",
+    "finance",
 ]
 
 
