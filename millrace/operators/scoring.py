@@ -32,8 +32,8 @@ def time_split(df: DataFrame, date: str, row_id: str, test_fraction: float = 0.2
         F.floor(F.sum("c").over(whole) * (1 - test_fraction)).alias("cut"),
     )
     edge = marked.where((F.col("before") <= F.col("cut")) & (F.col("cut") < F.col("before") + F.col("c")))
-    day = edge.select("d").scalar()
-    room = edge.select(F.col("cut") - F.col("before")).scalar()
+    found = edge.select(F.struct("d", (F.col("cut") - F.col("before")).alias("room"))).scalar()
+    day, room = found.getField("d"), found.getField("room")
     on_day = F.to_date(date) == day
     clear = df.where(~on_day).withColumn("is_train", F.to_date(date) < day)
     split = running_totals(df.where(on_day), [], [row_id], {"__at": F.lit(1)})

@@ -13,6 +13,7 @@ FAMILIES = [
     "food",
     "series",
     "finance",
+    "models",
 ]
 
 

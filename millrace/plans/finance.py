@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import score_points
 from millrace.operators import risk, scoring, stability
 from millrace.plans.registry import query
+from millrace.session import stage
 from millrace.sources.readers import table
 
 DIMENSIONS = ["sector", "region", "client_segment"]
@@ -194,7 +195,8 @@ tr AS (SELECT * FROM split WHERE is_train), te AS (SELECT * FROM split WHERE NOT
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.time_split(applicants(spark, sf), "application_date", "application_id")
+    # Fits and drift reports read both halves many times over.
+    return stage(scoring.time_split(applicants(spark, sf), "application_date", "application_id"), "split")
 
 
 @query("M1", APP + "SELECT application_id, is_train FROM split")

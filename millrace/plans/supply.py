@@ -9,6 +9,7 @@ from millrace.functions.columns import mapped
 from millrace.operators import history, planning, tracking
 from millrace.operators.prefix import range_edges
 from millrace.plans.registry import query
+from millrace.session import stage
 from millrace.sources.readers import table
 
 ORDER = ["dispatch_date", "order_seq", "shipment_id"]
@@ -109,16 +110,9 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     rows = history.calendar_columns(rows, "dispatch_ts").withColumn(
         "was_late", (F.col("actual_arrival_ts") > F.col("promised_ts")).cast("double")
     )
-    # The edges need only the lines themselves, not the joined dimensions.
-    edges = range_edges(
-        table(spark, sf, "lineitem").select(
-            F.to_date("l_shipdate").alias("dispatch_date"),
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("order_seq"),
-        ),
-        ORDER[:2],
-    )
     transit = F.col("actual_transit_days")
-    base = rows
+    base = rows = stage(rows, "shipments")
+    edges = range_edges(base, ORDER[:2])
     rows = history.prior_stats(
         rows,
         ["carrier"],
@@ -175,7 +169,7 @@ def carrier_prior_median(spark: SparkSession, sf: str) -> DataFrame:
     rows = shipments(spark, sf).withColumn("dispatch_date", F.to_date("dispatch_ts")).select(
         "shipment_id", "order_seq", "dispatch_date", "carrier", "actual_transit_days"
     )
-    ran = history.prior_median(rows, ["carrier"], ORDER, "actual_transit_days", "prior_median")
+    ran = history.prior_median(stage(rows, "shipments"), ["carrier"], ORDER, "actual_transit_days", "prior_median")
     return ran.select("shipment_id", "prior_median")
 
 

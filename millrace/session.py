@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 MAX_SPLITS = 4096
 
@@ -43,14 +44,24 @@ def split_count(spark: SparkSession) -> int:
     return max(8, min(MAX_SPLITS, 2 * shuffle_width(spark)))
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared folder named by the cluster; ``fallback`` only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a local one only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        os.makedirs(fallback, exist_ok=True)
-        named = fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    named = tempfile.mkdtemp(prefix="millrace-")
+    spark.conf.set("spark.checkpoint.dir", named)
     return named
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it back.
+
+    Cuts the lineage of a frame that is read several times; a lost executor costs a
+    re-read only.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
