@@ -14,6 +14,9 @@ FAMILIES = [
     "series",
     "finance",
     "models",
+    "corpus",
+    "retrieval",
+    "exchange",
 ]
 
 
