@@ -46,10 +46,9 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def text_documents(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """One row per file below ``root``: path, file name, stem, parent folder, whole text."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .text(root)
+        .text(root, wholetext=True)
     )
     path = F.col("_metadata.file_path")
     return files.select(
