@@ -39,13 +39,19 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """min, max, mean, exact median and sample standard deviation per numeric column."""
+    basics = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.min(F.col(c).cast("double")).alias("min"),
+                F.max(F.col(c).cast("double")).alias("max"),
+                F.avg(c).alias("mean"),
+                F.stddev_samp(c).alias("std"),
+            ).alias(f"s{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).select(F.inline(F.array(*[f"s{i}" for i in range(len(columns))])))
     long = _long(df, columns, "double")
-    basics = long.groupBy("column").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-    )
     middle = grouped_quantiles(long, ["column"], "value", {"median": 0.5})
     return basics.join(middle.select("column", "median"), "column")
 

@@ -9,7 +9,7 @@ from millrace.functions.columns import mapped
 from millrace.operators import history, planning, tracking
 from millrace.operators.prefix import range_edges
 from millrace.plans.registry import query
-from millrace.session import stage
+from millrace.session import is_small, stage
 from millrace.sources.readers import table
 
 ORDER = ["dispatch_date", "order_seq", "shipment_id"]
@@ -111,8 +111,14 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
         "was_late", (F.col("actual_arrival_ts") > F.col("promised_ts")).cast("double")
     )
     transit = F.col("actual_transit_days")
+    rows = rows.withColumn("service_level_factor", mapped(F.col("service_level"), SERVICE_FACTORS, 1.0)).select(
+        "shipment_id", "order_seq", "carrier", "lane", "origin_warehouse", "dispatch_date", "dispatch_dow",
+        "dispatch_month", "is_peak_season", "is_weather_season", "is_weekend_dispatch", "service_level_factor",
+        "actual_transit_days", "was_late",
+    )
     base = rows = stage(rows, "shipments")
-    edges = range_edges(base, ORDER[:2])
+    # One sketch of the order serves all three steps; a small input needs none.
+    edges = None if is_small(base) else range_edges(base, ORDER[:2])
     rows = history.prior_stats(
         rows,
         ["carrier"],
@@ -133,7 +139,6 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
         edges=edges,
         source=base,
     )
-    rows = rows.withColumn("service_level_factor", mapped(F.col("service_level"), SERVICE_FACTORS, 1.0))
     return history.warmup_flag(rows, "dispatch_date")
 
 

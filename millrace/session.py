@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_SPLITS = 4096
+SMALL_ROWS = 1_000_000
 
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,6 +45,16 @@ def split_count(spark: SparkSession) -> int:
     return max(8, min(MAX_SPLITS, 2 * shuffle_width(spark)))
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a frame has few enough rows for one task to hold all of them.
+
+    The size is counted, not guessed: beyond the bound (``spark.millrace.smallRows``) the
+    operators take their distributed form.
+    """
+    bound = int(df.sparkSession.conf.get("spark.millrace.smallRows", str(SMALL_ROWS)))
+    return bound > 0 and df.count() <= bound
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
