@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import half_even, label_upto
 from millrace.operators.prefix import grouped_quantiles, running_totals
+from millrace.session import stage
 
 BINS = 6
 SMOOTHING = 0.5
@@ -84,7 +85,8 @@ class WoeBinning:
         if self.numeric:
             rows = quantile_edges(train, self.numeric, bins).collect()
             self.edges = {row["feature"]: list(row["edges"]) for row in rows}
-        self.weights = woe_table(self.leveled(train, [target]), target)
+        # A few rows per feature, read by every later step.
+        self.weights = stage(woe_table(self.leveled(train, [target]), target), "weights")
         return self
 
     def level(self, feature: str) -> Column:

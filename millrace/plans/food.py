@@ -294,16 +294,10 @@ def priced_orders(spark: SparkSession, sf: str) -> DataFrame:
     FROM st LEFT JOIN added ON id = l_partkey""",
 )
 def stock_after_sent_orders(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem")
-    orders = line.groupBy(F.col("l_orderkey").alias("po_number")).agg(
-        F.to_json(
-            F.collect_list(
-                F.struct(
-                    F.concat(F.lit("PRD-"), "l_partkey").alias("sku"),
-                    F.col("l_quantity").cast("bigint").alias("quantity"),
-                )
-            )
-        ).alias("lines_json")
+    # An order arrives as one record per line, so no order is gathered in one place.
+    item = F.struct(F.concat(F.lit("PRD-"), "l_partkey").alias("sku"), F.col("l_quantity").cast("bigint").alias("quantity"))
+    orders = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("po_number"), F.to_json(F.array(item)).alias("lines_json")
     )
     sent = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("po_number"))
     rows = stock(spark, sf).select(F.concat(F.lit("PRD-"), "product_id").alias("sku"), "on_order")

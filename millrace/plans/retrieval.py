@@ -88,11 +88,21 @@ _DENSE = """dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
     list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM {q} q CROSS JOIN embeddings d)"""
 
 
-@query("R2 X28", "WITH " + _DENSE.format(q="embeddings") + " " + _RANKED.format(src="dn", k=10))
+@query(
+    "R2 X28",
+    """WITH c AS (SELECT label AS query_id, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2),
+  qv AS (SELECT query_id, list(x ORDER BY i) AS v FROM c GROUP BY 1),
+  dn AS (SELECT query_id, vec_id AS doc_id, list_cosine_similarity(v, embedding::DOUBLE[]) AS score FROM qv CROSS JOIN embeddings) """
+    + _RANKED.format(src="dn", k=10),
+)
 def dense_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
-    found = r.dense_top_k(vectors.withColumnRenamed("vec_id", "doc_id"), asked, 10, doc="doc_id")
+    """The vectors nearest to the mean vector of every label."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i")
+    means = parts.agg(F.avg("x").alias("x")).groupBy(F.col("label").cast("bigint").alias("query_id"))
+    # One entry per dimension and label.
+    asked = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+    found = r.dense_top_k(vectors, asked, 10, doc="doc_id")
     return found.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MAX_SPLITS = 4096
 SMALL_ROWS = 1_000_000
+SMALL_FILES = 256
 
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,10 +50,10 @@ def is_small(df: DataFrame) -> bool:
     """Whether a frame has few enough rows for one task to hold all of them.
 
     The size is counted, not guessed: beyond the bound (``spark.millrace.smallRows``) the
-    operators take their distributed form.
+    operators take their distributed form. Inputs of many files are not counted at all.
     """
     bound = int(df.sparkSession.conf.get("spark.millrace.smallRows", str(SMALL_ROWS)))
-    return bound > 0 and df.count() <= bound
+    return bound > 0 and len(df.inputFiles()) <= SMALL_FILES and df.count() <= bound
 
 
 def shared_folder(spark: SparkSession) -> str:
