@@ -131,7 +131,7 @@ _STRESS = "SELECT '{n}' AS scenario, sum({e}) AS loss FROM book"
         n=f"sector_shock_{SHOCK}",
         e=f"CASE WHEN sector = '{SHOCK}' THEN p * 3 * least(lgd * 1.25, 0.95) ELSE p * lgd END * ead",
     )
-    + """) SELECT scenario, round_even(loss, 2) AS expected_loss, round_even((loss / (SELECT sum(el) FROM book) - 1) * 100, 2) AS change_vs_base_pct,
+    + """) SELECT scenario, round_even(loss, 2) AS expected_loss, round_even((loss / (SELECT sum(el) FROM book) - 1) * 100, 2) + 0.0::DOUBLE AS change_vs_base_pct,
     round_even(loss / (SELECT sum(ead) FROM book) * 100, 3) AS loss_rate_pct FROM sc""",
 )
 def stress_test(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,7 +247,7 @@ def fitted(spark: SparkSession, sf: str) -> tuple[scoring.WoeBinning, DataFrame]
     return scoring.WoeBinning(NUMERIC, CATEGORICAL).fit(rows.where("is_train"), "defaulted"), rows
 
 
-@query("M3", WOE + "SELECT feature, level, bad, good, round(woe, 6) AS woe, round(iv, 6) AS iv FROM woe")
+@query("M3", WOE + "SELECT feature, level, bad, good, round(woe, 6) + 0.0::DOUBLE AS woe, round(iv, 6) AS iv FROM woe")
 def woe_table(spark: SparkSession, sf: str) -> DataFrame:
     binning, _ = fitted(spark, sf)
     return binning.weights.withColumns({c: F.round(c, 6) for c in ("woe", "iv")})
@@ -267,7 +267,7 @@ def information_values(spark: SparkSession, sf: str) -> DataFrame:
     WOE + f""", lt AS ({_level_sql('te')}),
   j AS (SELECT application_id, lt.feature, coalesce(woe, 0) AS woe FROM lt LEFT JOIN woe ON lt.feature = woe.feature AND lt.level = woe.level)
   SELECT application_id, """
-    + ", ".join(f"round(max(woe) FILTER (feature = '{f}'), 6) AS woe_{f}" for f in [*NUMERIC, *CATEGORICAL])
+    + ", ".join(f"round(max(woe) FILTER (feature = '{f}'), 6) + 0.0::DOUBLE AS woe_{f}" for f in [*NUMERIC, *CATEGORICAL])
     + " FROM j GROUP BY 1",
 )
 def woe_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,7 +305,7 @@ def ks_curve(spark: SparkSession, sf: str) -> DataFrame:
     APP.rstrip() + f""", e AS (SELECT x[2:len(x) - 1] AS edges FROM (SELECT {_edge_sql('probability', 'te', 10)} AS x)),
   d AS (SELECT CAST(len(list_filter(edges, lambda x: x < probability)) AS INTEGER) AS decile, probability, defaulted FROM te, e)
   SELECT decile, count(*) AS applicants, round_even(avg(probability) * 100, 2) AS predicted_rate, round_even(avg(defaulted) * 100, 2) AS observed_rate,
-    round_even((avg(defaulted) - avg(probability)) * 100, 2) AS difference_pp FROM d GROUP BY 1""",
+    round_even((avg(defaulted) - avg(probability)) * 100, 2) + 0.0::DOUBLE AS difference_pp FROM d GROUP BY 1""",
 )
 def calibration_table(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.calibration(split(spark, sf).where("NOT is_train"), "defaulted", "probability")

@@ -116,7 +116,7 @@ used AS (SELECT st.*, service_date, predicted_covers,
     CASE WHEN is_closed THEN 0.0 ELSE predicted_covers * rate / 100.0 END::DOUBLE AS use
   FROM st JOIN forecast USING (site_id)),
 walk AS (SELECT *, round_even(use, 2) AS consumption, round_even(coalesce(on_hand, 0) + coalesce(on_order, 0)
-    - sum(use) OVER (PARTITION BY site_id, sku ORDER BY service_date), 2) AS closing_stock FROM used)
+    - sum(use) OVER (PARTITION BY site_id, sku ORDER BY service_date), 2) + 0.0::DOUBLE AS closing_stock FROM used)
 """
 
 

@@ -115,7 +115,7 @@ def dense_lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "X28",
-    """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS cosine,
+    """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) + 0.0::DOUBLE AS cosine,
     round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS length FROM embeddings""",
 )
 def vector_measures(spark: SparkSession, sf: str) -> DataFrame:

@@ -43,7 +43,7 @@ def _plain(value):
 
 def _key(row):
     return tuple(
-        (0, "") if v is None else (1, f"{v:.5g}") if isinstance(v, float) else (2, str(v)) for v in row
+        (0, "") if v is None else (1, f"{v + 0.0:.5g}") if isinstance(v, float) else (2, str(v)) for v in row
     )
 
 
