@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,15 +56,15 @@ def is_small(df: DataFrame) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only on a local master."""
+    """The folder the cluster names in spark.checkpoint.dir; below the warehouse where it names none.
+
+    Both are shared by driver and executors on a cluster. No machine-local temporary folder is used.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir names no shared folder")
-    named = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
