@@ -28,7 +28,7 @@ UPPER[ord("A") : ord("Z") + 1] = 1
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 FEATURES = 6
-FLOORS = (0.6, 0.12, 0.06, 0.04, 0.05, 0.04)
+FLOORS = (0.6, 0.12, 0.04, 0.12, 0.08, 0.04)
 """Least standard deviation per feature, in its own unit: rates that are zero in most texts have no spread of their own."""
 LEAST_ROWS = 60
 """Groups with fewer rows are pooled by language, and pools with fewer over all languages."""
