@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, html_text, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
+from millrace.llm import bpe, html_text, lines, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
 from millrace.llm.frames import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_duplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query()
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_texts(table(spark, sf_dir, "pages"))
