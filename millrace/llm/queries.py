@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, html_text, lines, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
+from millrace.llm import bpe, decontamination, html_text, lines, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
 from millrace.llm.frames import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
