@@ -3,8 +3,8 @@
 A plain window puts every row of a key into one task. Here the ordered key space is
 cut into ranges first: each range is summed, the small table of range totals gets the
 running offsets, and rows are ordered only inside their own range. Range edges come
-from a sketch, so they steer balance only; results never depend on them. Inputs that
-are counted to be small take the plain window or aggregate instead.
+from a sketch, so they steer balance only; results never depend on them. There is one form
+for all sizes, and a null key is a key like any other.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import is_small, split_count
+from millrace.session import split_count
 
 _BUCKET = "__range"
 _SUB = "__subrange"
@@ -59,8 +59,8 @@ def range_of(value: Column, edges: Sequence[float]) -> Column:
 
     The edges are a constant of the plan and are searched by halving.
     """
-    if len(edges) <= 128:
-        return F.coalesce(_halving(value, edges, 0, len(edges)), F.lit(0))
+    if not edges:
+        return F.lit(0)
     constant = F.array(*[F.lit(float(e)) for e in edges])
     steps = []
     step = 1
@@ -80,15 +80,13 @@ def range_of(value: Column, edges: Sequence[float]) -> Column:
     )
 
 
-def _halving(value: Column, edges: Sequence[float], low: int, high: int) -> Column:
-    """The same search as compiled comparisons, for few edges."""
-    if low == high:
-        here = F.lit(2 * low)
-        return here if low == len(edges) else F.when(value == F.lit(float(edges[low])), 2 * low + 1).otherwise(here)
-    middle = (low + high) // 2
-    return F.when(value > F.lit(float(edges[middle])), _halving(value, edges, middle + 1, high)).otherwise(
-        _halving(value, edges, low, middle)
-    )
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null equal to null; the keys appear once, as they are on the left."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"__right_{k}"])
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
 def with_ranges(
@@ -125,14 +123,12 @@ def running_totals(
 ) -> DataFrame:
     """Per key and row, the sums over earlier rows (``inclusive`` adds the row itself).
 
-    ``totals`` adds ``<name>_total`` over the whole key. Key columns must not be null.
+    ``totals`` adds ``<name>_total`` over the whole key.
     ``source`` holds the same rows before any earlier running step; the range totals are
     taken from it, so that a chain of steps does not evaluate its own past twice over.
     """
     keys = list(keys)
     source = df if source is None else source
-    if edges is None and is_small(source):
-        return _plain_totals(df, keys, order, sums, inclusive, totals)
     if edges is None:
         edges = range_edges(source, list(order)[:2])
     tagged = with_ranges(df, order, edges)
@@ -154,7 +150,7 @@ def running_totals(
     ran = tagged.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__run_{n}") for n, c in sums.items()]
     )
-    joined = ran.join(offsets, spot)
+    joined = null_safe_join(ran, offsets, spot)
     extra = [f"{n}_total" for n in sums] if totals else []
     return joined.select(
         *df.columns,
@@ -163,18 +159,6 @@ def running_totals(
     )
 
 
-def _plain_totals(
-    df: DataFrame, keys: list[str], order: Sequence[str], sums: Mapping[str, Column], inclusive: bool, totals: bool
-) -> DataFrame:
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    frame = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.select(
-        "*",
-        *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(n) for n, c in sums.items()],
-        *([F.sum(c).over(whole).alias(f"{n}_total") for n, c in sums.items()] if totals else []),
-    )
-
-
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -189,14 +173,6 @@ def grouped_quantiles(
     from the same pass; rows with a null value count there only.
     """
     keys, sums = list(keys), dict(sums or {})
-    if is_small(df):
-        found = df.groupBy(*keys).agg(
-            F.count(value).alias("n"),
-            *[F.sum(c).alias(n) for n, c in sums.items()],
-            F.percentile(value, [float(f) for f in fractions.values()]).alias("__p"),
-        )
-        picks = [F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(fractions)]
-        return found.select(*keys, "n", *sums, *picks)
     rows = df.withColumn("__v", F.col(value))
     edges = range_edges(rows, ["__v"])
     counts = rows.groupBy(*keys, "__v").agg(

@@ -15,7 +15,6 @@ from millrace.session import stage
 BINS = 6
 SMOOTHING = 0.5
 IV_BANDS = [(0.02, "useless"), (0.1, "weak"), (0.3, "medium"), (0.5, "strong")]
-MAX_MAPPED_LEVELS = 2_000
 
 
 def time_split(df: DataFrame, date: str, row_id: str, test_fraction: float = 0.25) -> DataFrame:
@@ -109,29 +108,15 @@ class WoeBinning:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``woe_<feature>``; an unseen level weighs 0."""
-        features = [*self.numeric, *self.categorical]
-        levels = self.weights.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
-        wide = {row["feature"] for row in levels if row["n"] > MAX_MAPPED_LEVELS}
-        small = self.weights.where(~F.col("feature").isin(*wide)) if wide else self.weights
-        maps: dict[str, dict[str, float]] = {}
-        for row in small.collect():
-            maps.setdefault(row["feature"], {})[row["level"]] = row["woe"]
         out = df
-        for f in features:
-            if f in wide:
-                own = self.weights.where(F.col("feature") == f).select(
-                    F.col("level").alias("__level"), F.col("woe").alias("__woe")
-                )
-                out = (
-                    out.withColumn("__level", self.level(f))
-                    .join(own, "__level", "left")
-                    .withColumn(f"woe_{f}", F.coalesce("__woe", F.lit(0.0)))
-                    .drop("__level", "__woe")
-                )
-            else:
-                pairs = [F.lit(x) for item in maps.get(f, {"": 0.0}).items() for x in item]
-                weight = F.element_at(F.create_map(*pairs), self.level(f))
-                out = out.withColumn(f"woe_{f}", F.coalesce(weight, F.lit(0.0)))
+        for f in [*self.numeric, *self.categorical]:
+            own = self.weights.where(F.col("feature") == f).select(F.col("level").alias("__level"), F.col("woe").alias("__woe"))
+            out = (
+                out.withColumn("__level", self.level(f))
+                .join(own, "__level", "left")
+                .withColumn(f"woe_{f}", F.coalesce("__woe", F.lit(0.0)))
+                .drop("__level", "__woe")
+            )
         return out
 
 

@@ -48,7 +48,7 @@ def csv_texts(spark: SparkSession, sf: str) -> DataFrame:
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)
-    back = readers.csv(spark, path, "doc_id bigint, text string")
+    back = readers.csv(spark, path, "doc_id bigint, text string", multi_line=True)
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("\\\\"), F.lit("\\"))
     return back.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"))
 

@@ -55,9 +55,15 @@ def keyword_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return r.top_k(lexical(spark, sf), "query_id", "doc_id", 12).withColumn("score", F.round("score", 6))
 
 
-@query("T5", BM25 + _RANKED.format(src="sc", k=5))
+# Every document has a score; without a shared term it is 0.
+_ALL = """(SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT query_id FROM q) CROSS JOIN (SELECT doc_id FROM documents)
+  LEFT JOIN sc USING (query_id, doc_id))"""
+
+
+@query("T5", BM25 + _RANKED.format(src=_ALL, k=5))
 def keyword_top_k_unfloored(spark: SparkSession, sf: str) -> DataFrame:
-    return r.top_k(lexical(spark, sf), "query_id", "doc_id", 5, floor=None).withColumn("score", F.round("score", 6))
+    ranked = r.filled_top_k(lexical(spark, sf), documents(spark, sf), questions(spark, sf), "query_id", "doc_id", 5)
+    return ranked.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -76,12 +82,12 @@ def scoped_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "W10",
-    BM25 + """SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)
+    BM25 + f"""SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {_ALL})
     WHERE doc_id = query_id""",
 )
 def target_ranks(spark: SparkSession, sf: str) -> DataFrame:
     targets = questions(spark, sf).select("query_id", F.col("query_id").alias("doc_id"))
-    return r.rank_of(lexical(spark, sf), targets, "query_id", "doc_id")
+    return r.rank_of(lexical(spark, sf), documents(spark, sf), targets, "query_id", "doc_id")
 
 
 _DENSE = """dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id,

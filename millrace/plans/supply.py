@@ -9,7 +9,7 @@ from millrace.functions.columns import mapped
 from millrace.operators import history, planning, tracking
 from millrace.operators.prefix import range_edges
 from millrace.plans.registry import query
-from millrace.session import is_small, stage
+from millrace.session import stage
 from millrace.sources.readers import table
 
 ORDER = ["dispatch_date", "order_seq", "shipment_id"]
@@ -117,8 +117,8 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
         "actual_transit_days", "was_late",
     )
     base = rows = stage(rows, "shipments")
-    # One sketch of the order serves all three steps; a small input needs none.
-    edges = None if is_small(base) else range_edges(base, ORDER[:2])
+    # One sketch of the order serves all three steps.
+    edges = range_edges(base, ORDER[:2])
     rows = history.prior_stats(
         rows,
         ["carrier"],

@@ -6,10 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_SPLITS = 4096
-SMALL_ROWS = 1_000_000
-SMALL_FILES = 256
-
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC, AQE and skew-join handling on.
@@ -39,20 +35,10 @@ def shuffle_width(spark: SparkSession) -> int:
 def split_count(spark: SparkSession) -> int:
     """How many ranges to cut one ordered key space into.
 
-    A few ranges per shuffle partition, so that a hot key spreads over the whole
-    cluster; bounded, because the range edges travel inside the plan.
-    """
-    return max(8, min(MAX_SPLITS, 2 * shuffle_width(spark)))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a frame has few enough rows for one task to hold all of them.
-
-    The size is counted, not guessed: beyond the bound (``spark.millrace.smallRows``) the
-    operators take their distributed form. Inputs of many files are not counted at all.
+    Two ranges per shuffle partition, so that a hot key spreads over the whole cluster
+    and a range does not grow with it.
     """
-    bound = int(df.sparkSession.conf.get("spark.millrace.smallRows", str(SMALL_ROWS)))
-    return bound > 0 and len(df.inputFiles()) <= SMALL_FILES and df.count() <= bound
+    return max(8, 2 * shuffle_width(spark))
 
 
 def shared_folder(spark: SparkSession) -> str:

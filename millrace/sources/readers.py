@@ -19,12 +19,15 @@ def table(spark: SparkSession, folder: str, name: str, schema: str | None = None
         raise FileNotFoundError(f"table '{name}' is not in {folder}") from missing
 
 
-def csv(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    """Headed CSV with quoted, possibly multi-line text; ``limit`` takes the first rows."""
+def csv(spark: SparkSession, path: str, schema: str, limit: int | None = None, multi_line: bool = False) -> DataFrame:
+    """Headed CSV with quoted text; ``limit`` takes the first rows.
+
+    Files are split over tasks unless ``multi_line`` says that fields may hold line ends.
+    """
     rows = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
@@ -60,6 +63,9 @@ def text_documents(spark: SparkSession, root: str, pattern: str = "*.md") -> Dat
     )
 
 
-def jdbc(spark: SparkSession, url: str, source: str, **options: str) -> DataFrame:
-    """Relational scan; column subsets and filters push down to the database."""
-    return spark.read.format("jdbc").options(url=url, dbtable=source, **options).load()
+def jdbc(
+    spark: SparkSession, url: str, source: str, column: str, lower: str, upper: str, partitions: int, **options: str
+) -> DataFrame:
+    """Relational scan, read in ``partitions`` ranges of ``column``; columns and filters push down to the database."""
+    ranges = {"partitionColumn": column, "lowerBound": lower, "upperBound": upper, "numPartitions": str(partitions)}
+    return spark.read.format("jdbc").options(url=url, dbtable=source, **ranges, **options).load()

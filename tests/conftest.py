@@ -31,10 +31,3 @@ def spark():
     yield session
     session.stop()
 
-
-@pytest.fixture(params=["small", "distributed"])
-def both_forms(request, spark):
-    """Run a test once with the counted small path and once with the distributed form."""
-    spark.conf.set("spark.millrace.smallRows", "1000000" if request.param == "small" else "0")
-    yield request.param
-    spark.conf.unset("spark.millrace.smallRows")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 import sys
 import time
 from pathlib import Path
@@ -93,8 +92,6 @@ def main() -> None:
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "12g",
             "spark.ui.showConsoleProgress": "false",
-            # SMALL_ROWS=0 takes the distributed form of every operator.
-            "spark.millrace.smallRows": os.environ.get("SMALL_ROWS", "1000000"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

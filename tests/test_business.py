@@ -146,7 +146,7 @@ def test_recursive_steps(spark):
     assert got == [5.0, 7.5, 11.0]
 
 
-def test_lags_over_chunk_borders(spark, both_forms):
+def test_lags_over_chunk_borders(spark):
     rows = forecast.lagged(series(spark, range(20)), 3, chunk_rows=6).orderBy("ts").collect()
     assert len(rows) == 20
     assert [r["lag_3"] for r in rows] == [None] * 3 + [float(i) for i in range(17)]
@@ -180,7 +180,7 @@ def test_points_double_every_twenty(spark):
     assert [r[0] for r in rows.select(score_points(F.col("p"))).collect()] == [600, 620]
 
 
-def test_perfect_score_and_stable_population(spark, both_forms):
+def test_perfect_score_and_stable_population(spark):
     rows = spark.createDataFrame([(i / 100, int(i >= 60)) for i in range(100)], "p double, y int")
     got = scoring.evaluate(rows, "y", "p").first()
     assert (got["auc"], got["gini"], got["ks"]) == (1.0, 1.0, 1.0)
@@ -190,7 +190,7 @@ def test_perfect_score_and_stable_population(spark, both_forms):
     assert stability.psi(stability.psi_bins(rows, moved, ["p"])).first()["assessment"] == "unstable"
 
 
-def test_time_split_is_chronological(spark, both_forms):
+def test_time_split_is_chronological(spark):
     rows = spark.createDataFrame([(i, DAY("2026-01-01") + dt.timedelta(i // 8)) for i in range(40)], "id int, d date")
     out = scoring.time_split(rows, "d", "id")
     assert out.where("is_train").count() == 30

@@ -1,4 +1,4 @@
-"""Every query with an oracle against DuckDB, in its distributed form, at the smallest scale."""
+"""Every query with an oracle against DuckDB, at the smallest scale."""
 
 from __future__ import annotations
 
@@ -17,13 +17,6 @@ def duck():
     return connect(DATA)
 
 
-@pytest.fixture(scope="module", autouse=True)
-def distributed(spark):
-    spark.conf.set("spark.millrace.smallRows", "0")
-    yield
-    spark.conf.unset("spark.millrace.smallRows")
-
-
 @pytest.mark.parametrize("name", [n for n, q in CATALOG.items() if q.sql])
 def test_matches_oracle(spark, duck, name):
     names, got = rows_of_spark(CATALOG[name].run(spark, DATA))

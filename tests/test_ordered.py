@@ -32,7 +32,7 @@ def ordered(frame):
     return frame.sort_values(["day", "id"])
 
 
-def test_running_totals(spark, both_forms, frame, ordered):
+def test_running_totals(spark, frame, ordered):
     ran = running_totals(
         spark.createDataFrame(frame), ["key"], ["day", "id"], {"n": F.lit(1), "s": F.col("value")}, totals=True
     ).toPandas()
@@ -47,7 +47,7 @@ def test_running_totals(spark, both_forms, frame, ordered):
     assert np.allclose(both["s"], both["s_w"])
 
 
-def test_running_totals_without_keys_and_inclusive(spark, both_forms, frame, ordered):
+def test_running_totals_without_keys_and_inclusive(spark, frame, ordered):
     ran = running_totals(
         spark.createDataFrame(frame), [], ["day", "id"], {"n": F.lit(1)}, inclusive=True
     ).toPandas()
@@ -55,7 +55,7 @@ def test_running_totals_without_keys_and_inclusive(spark, both_forms, frame, ord
     assert ran.set_index("id")["n"].sort_index().equals(want.set_index("id")["n"].sort_index())
 
 
-def test_grouped_quantiles(spark, both_forms, frame):
+def test_grouped_quantiles(spark, frame):
     got = grouped_quantiles(
         spark.createDataFrame(frame), ["key"], "value", {"p50": 0.5, "p90": 0.9}, {"total": F.col("id")}
     ).toPandas().set_index("key").sort_index()
@@ -68,14 +68,9 @@ def test_grouped_quantiles(spark, both_forms, frame):
 
 @pytest.mark.parametrize("chunk_rows", [50, 400, 20_000])
 def test_prior_median_in_chunks(spark, frame, ordered, chunk_rows):
-    spark.conf.set("spark.millrace.smallRows", "0")
-    try:
-        # Fewer splits than chunks, so that the chunk size asked for is the one taken.
-        got = history.prior_median(
-            spark.createDataFrame(frame), ["key"], ["day", "id"], "value", "m", count="c", chunk_rows=chunk_rows
-        ).toPandas()
-    finally:
-        spark.conf.unset("spark.millrace.smallRows")
+    got = history.prior_median(
+        spark.createDataFrame(frame), ["key"], ["day", "id"], "value", "m", count="c", chunk_rows=chunk_rows
+    ).toPandas()
     want = ordered.assign(
         m=ordered.groupby("key")["value"].transform(lambda s: s.shift(1).expanding().median()),
         c=ordered.groupby("key").cumcount(),
@@ -98,7 +93,7 @@ def test_median_walk_with_kept_values():
         assert got.tolist() == want
 
 
-def test_prior_stats_ignore_later_rows(spark, both_forms, frame, ordered):
+def test_prior_stats_ignore_later_rows(spark, frame, ordered):
     keep = ordered.head(900)
     kinds = {}
     for name, rows in (("all", frame), ("cut", keep)):
@@ -127,3 +122,14 @@ def test_range_edges_are_bounded(spark, frame):
     edges = range_edges(spark.createDataFrame(frame), ["value", "key", "day"], 16)
     assert set(edges) == {"value", "day"}
     assert all(len(e) <= 15 for e in edges.values())
+
+
+def test_null_keys_are_keys(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, None, 4.0), (4, "a", 3.0)], "id long, key string, value double")
+    stats = {r.id: (r.n, r.mean) for r in history.prior_stats(rows, ["key"], ["id"], means={"mean": F.col("value")}, count="n").collect()}
+    assert stats == {1: (0, None), 2: (0, None), 3: (1, 2.0), 4: (1, 1.0)}
+    for chunk_rows in (1, 20_000):
+        medians = {r.id: r.m for r in history.prior_median(rows, ["key"], ["id"], "value", "m", chunk_rows=chunk_rows).collect()}
+        assert medians == {1: None, 2: None, 3: 2.0, 4: 1.0}
+    quantiles = {r.key: r.p50 for r in grouped_quantiles(rows, ["key"], "value", {"p50": 0.5}).collect()}
+    assert quantiles == {"a": 2.0, None: 3.0}
