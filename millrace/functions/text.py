@@ -12,6 +12,7 @@ HYPHEN_TOKENS = "[a-z0-9]+(?:-[a-z0-9]+)*"
 DOTTED_TOKENS = "[a-z0-9]+(?:[-.][a-z0-9]+)*"
 WORD_TOKENS = r"(?U)\w+"
 
+# Fixed value: the frontmatter block.
 FRONTMATTER = r"(?s)^---[^\S\n]*\n(.*?)\n---[^\S\n]*\n"
 
 # Display labels of the source types.

@@ -9,6 +9,7 @@ from millrace.functions.columns import contains_fold, half_even, mapped, whole_c
 from millrace.functions.text import sorted_list
 from millrace.operators.containment import contained_in
 
+# The window of alerts and the order of severities.
 ACTION_WINDOW_DAYS = 7
 SEVERITY_ORDER = {"critical": 0, "high": 1, "medium": 2}
 
@@ -128,6 +129,7 @@ def order_alerts(
     quantity = F.greatest(F.lit(0.0), F.least(deficit, most))
     per_case = F.greatest(F.coalesce(F.nullif("units_per_case", F.lit(0)), F.lit(1)), F.lit(1))
     cases = whole_cases(quantity, F.col("units_per_case"), F.col("min_order_quantity"))
+    # The sentences of alerts.
     reason = F.when(
         F.col("stockout_date").isNotNull(),
         F.format_string(

@@ -12,6 +12,7 @@ from millrace.functions.columns import clip, half_even, label_below
 from millrace.operators.prefix import grouped_quantiles
 
 WATCH_DAYS, WATCH_PD = 90, 0.35
+# Bands of concentration.
 HHI_BANDS = [(0.15, "diversified"), (0.25, "moderately concentrated")]
 
 # Default-probability multipliers of the stress scenarios, and the sector shock.

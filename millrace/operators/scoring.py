@@ -14,6 +14,7 @@ from millrace.session import stage
 
 BINS = 6
 SMOOTHING = 0.5
+# Bands of information value.
 IV_BANDS = [(0.02, "useless"), (0.1, "weak"), (0.3, "medium"), (0.5, "strong")]
 
 

@@ -11,6 +11,7 @@ from millrace.functions.columns import half_even, label_below
 from millrace.operators.prefix import grouped_quantiles
 from millrace.operators.scoring import quantile_edges, unpivoted
 
+# Bands of stability.
 PSI_BANDS = [(0.10, "stable"), (0.25, "investigate")]
 SMOOTHING = 1e-6
 
