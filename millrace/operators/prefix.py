@@ -21,7 +21,13 @@ _BUCKET = "__range"
 _SUB = "__subrange"
 
 
-def _numeric(column: Column, kind: T.DataType) -> Column:
+Edge = float | str
+
+
+def _comparable(column: Column, kind: T.DataType) -> Column:
+    """The column as its edges are given: text as it is, everything else as a number."""
+    if isinstance(kind, T.StringType):
+        return column
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -30,38 +36,45 @@ def _numeric(column: Column, kind: T.DataType) -> Column:
 
 
 def _splittable(kind: T.DataType) -> bool:
-    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType))
 
 
 def range_edges(
     df: DataFrame, columns: Sequence[str], splits: int | None = None
-) -> dict[str, list[float]]:
-    """Approximate quantile edges per column: one pass, at most ``splits`` doubles each."""
+) -> dict[str, list[Edge]]:
+    """Approximate quantile edges per column, at most ``splits`` each.
+
+    Numbers and times come from one sketch pass; text from the ten values per split that come first
+    by hash.
+    """
     spark = df.sparkSession
     splits = splits or split_count(spark)
     usable = [c for c in columns if _splittable(df.schema[c].dataType)]
     if not usable:
         return {}
     fractions = [i / splits for i in range(1, splits)]
-    row = df.agg(
-        *[
-            F.percentile_approx(
-                _numeric(F.col(c), df.schema[c].dataType), fractions, max(1000, splits * 10)
-            ).alias(c)
-            for c in usable
-        ]
-    ).first()
-    return {c: sorted(set(row[c] or [])) for c in usable}
-
-
-def range_of(value: Column, edges: Sequence[float]) -> Column:
+    text = [c for c in usable if isinstance(df.schema[c].dataType, T.StringType)]
+    numbers = [c for c in usable if c not in text]
+    found: dict[str, list[Edge]] = {}
+    if numbers:
+        sketch = lambda c: F.percentile_approx(_comparable(F.col(c), df.schema[c].dataType), fractions, max(1000, splits * 10))
+        row = df.agg(*[sketch(c).alias(c) for c in numbers]).first()
+        found |= {c: sorted(set(row[c] or [])) for c in numbers}
+    for c in text:
+        sample = df.select(c).where(F.col(c).isNotNull()).orderBy(F.xxhash64(c), c).limit(10 * splits).collect()
+        values = sorted(r[0] for r in sample)
+        found[c] = sorted({values[int(f * len(values))] for f in fractions} if values else set())
+    return found
+
+
+def range_of(value: Column, edges: Sequence[Edge]) -> Column:
     """Monotone range number of ``value``; a value equal to an edge has a range of its own.
 
     The edges are a constant of the plan and are searched by halving.
     """
     if not edges:
         return F.lit(0)
-    constant = F.array(*[F.lit(float(e)) for e in edges])
+    constant = F.array(*[F.lit(e if isinstance(e, str) else float(e)) for e in edges])
     steps = []
     step = 1
     while step <= len(edges):
@@ -90,7 +103,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def with_ranges(
-    df: DataFrame, order: Sequence[str], edges: Mapping[str, Sequence[float]]
+    df: DataFrame, order: Sequence[str], edges: Mapping[str, Sequence[Edge]]
 ) -> DataFrame:
     """Tag rows with a range pair that sorts like ``order``.
 
@@ -100,12 +113,12 @@ def with_ranges(
     first = order[0]
     kind = df.schema[first].dataType
     primary = (
-        range_of(_numeric(F.col(first), kind), edges[first]) if edges.get(first) else F.lit(0)
+        range_of(_comparable(F.col(first), kind), edges[first]) if edges.get(first) else F.lit(0)
     )
     out = df.withColumn(_BUCKET, primary)
     if len(order) > 1 and edges.get(order[1]):
         second = order[1]
-        sub = range_of(_numeric(F.col(second), df.schema[second].dataType), edges[second])
+        sub = range_of(_comparable(F.col(second), df.schema[second].dataType), edges[second])
         return out.withColumn(_SUB, F.when(F.col(_BUCKET) % 2 == 1, sub).otherwise(F.lit(0)))
     return out.withColumn(_SUB, F.lit(0))
 
@@ -118,7 +131,7 @@ def running_totals(
     *,
     inclusive: bool = False,
     totals: bool = False,
-    edges: Mapping[str, Sequence[float]] | None = None,
+    edges: Mapping[str, Sequence[Edge]] | None = None,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Per key and row, the sums over earlier rows (``inclusive`` adds the row itself).

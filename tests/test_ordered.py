@@ -120,7 +120,7 @@ def test_range_numbers_are_monotone(spark, size):
 
 def test_range_edges_are_bounded(spark, frame):
     edges = range_edges(spark.createDataFrame(frame), ["value", "key", "day"], 16)
-    assert set(edges) == {"value", "day"}
+    assert set(edges) == {"value", "key", "day"}
     assert all(len(e) <= 15 for e in edges.values())
 
 
@@ -133,3 +133,12 @@ def test_null_keys_are_keys(spark):
         assert medians == {1: None, 2: None, 3: 2.0, 4: 1.0}
     quantiles = {r.key: r.p50 for r in grouped_quantiles(rows, ["key"], "value", {"p50": 0.5}).collect()}
     assert quantiles == {"a": 2.0, None: 3.0}
+
+
+def test_text_orders_are_cut_too(spark):
+    rows = spark.createDataFrame([(f"r{k:05d}", k) for k in range(2000)], "id string, v long").repartition(7)
+    ran = running_totals(rows, [], ["id"], {"before": F.lit(1)})
+    assert all(r.before == r.v for r in ran.collect())
+    assert len(range_edges(rows, ["id"], 16)["id"]) >= 12
+    plan = ran._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan
