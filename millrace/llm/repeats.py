@@ -346,11 +346,13 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, window: int = WIN
     """
     width = partitions_for(documents.sparkSession)
     all_regions = stage(found_regions(documents, length, window), "regions")
-    counts = (
+    # Counts are stored before they are joined, so that the join may split the rows of a hot anchor.
+    counts = stage(
         all_regions.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("region").alias("least"), F.max("region").alias("most"))
         .filter(F.col("n") > 1)
-        .select("anchor", (F.col("least") != F.col("most")).alias("varied"))
+        .select("anchor", (F.col("least") != F.col("most")).alias("varied")),
+        "counts",
     )
     shared = stage(all_regions.join(counts, "anchor"), "shared")
     span = ["key", F.col("p1").alias("low"), (F.col("p2") + length).alias("high")]
@@ -361,7 +363,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, window: int = WIN
     distinct = stage(shared.filter("varied").groupBy("anchor", "region").agg(F.count("*").alias("copies"), one), "distinct")
     copied = shared.filter("varied").join(distinct.filter("copies > 1").select("anchor", "region"), ["anchor", "region"]).select(*span)
 
-    crowd = distinct.groupBy("anchor").agg(F.count("*").alias("regions"))
+    crowd = stage(distinct.groupBy("anchor").agg(F.count("*").alias("regions")), "crowd")
     part = F.when(F.col("regions") > VERY_HOT_REGIONS, 1).when(F.col("regions") > HOT_REGIONS, PART).otherwise(0)
     want = F.struct("anchor", "one.p1", "one.p2", "one.at", (F.col("copies") == 1).alias("lone"), part.alias("part")).alias("want")
     wanted = distinct.join(crowd, "anchor").select("one.key", F.col("one._id").alias("_id"), want)
@@ -392,7 +394,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, window: int = WIN
     dealt = parts.filter(F.octet_length("text") > 0).repartition(width, "grp").sortWithinPartitions("grp")
     matched = dealt.mapInArrow(solve, "key binary, low long, high long")
     single = parts.filter(F.octet_length("text") == 0)
-    twice = single.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp")
+    twice = stage(single.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp"), "twice")
     counted = single.join(twice, "grp").filter("lone").select("key", "low", (F.col("low") + length).alias("high"))
     return alike.union(copied).union(matched).union(counted).distinct()
 
