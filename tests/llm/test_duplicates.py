@@ -229,6 +229,57 @@ def test_lines_against_plain_grouping(spark):
     assert lines.without_duplicate_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_all_lines_of_a_bucket_meet(spark):
+    """Two close lines share one bucket, where lines of other texts sort before and between them."""
+    mask = (1 << 64) - 1
+    words = [f"w{k}x" for k in range(4000)]
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    bits = {r.w: np.array([(r.h & mask) >> k & 1 for k in range(64)]) for r in hashed}
+    rng = random.Random(4)
+
+    def blocks(of):
+        half = sum(bits[w] for w in of) > len(of) // 2
+        whole = sum(1 << k for k, one in enumerate(half) if one)
+        return whole, [whole >> low & (1 << width) - 1 for low, width in lines.BLOCKS]
+
+    def shared(a, b):
+        return [k for k in range(5) if a[1][k] == b[1][k]]
+
+    while True:
+        one = rng.sample(words, 15)
+        two = [*one[:7], rng.choice(words), *one[8:]]
+        a, b = blocks(one), blocks(two)
+        both = shared(a, b)
+        if len(both) == 2 and (a[0] ^ b[0]).bit_count() <= lines.DISTANCE:
+            break
+    # Lines of one word have its hash; the bucket's keys are planted, so that others sort between the two.
+    i, j = both
+    (low_i, width_i), (low_j, width_j) = lines.BLOCKS[i], lines.BLOCKS[j]
+    held = ((1 << width_i) - 1) << low_i | ((1 << width_j) - 1) << low_j
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    lo, hi = sorted((signed(a[0]), signed(b[0])))
+    between = set()
+    while len(between) < 3:
+        x = signed((rng.randrange(lo + 1, hi) & mask & ~held) | a[0] & held)
+        if lo < x < hi and x not in (lo, hi):
+            between.add(x)
+    first = next(x for x in (signed((rng.getrandbits(64) & ~held) | a[0] & held) for _ in range(10_000)) if x < lo)
+    planted = {"planted" + "abcd"[k] * 20: x for k, x in enumerate([first, *sorted(between)])}
+    docs = frame(spark, [(1, " ".join(one)), (2, " ".join(two)), *((10 + k, t) for k, t in enumerate(planted))])
+    whole = lines.line_places
+
+    def placed(*args):
+        places = whole(*args)
+        sim = F.col("sim")
+        for k, x in enumerate(planted.values()):
+            sim = F.when(F.col("id") == 10 + k, F.lit(x)).otherwise(sim)
+        return places.withColumn("sim", sim)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lines, "line_places", placed)
+        assert [(r.doc_id, r.line) for r in lines.duplicate_lines(docs).collect()] == [(2, 0)]
+
+
 def test_lines_use_no_python(spark):
     plan = lines.without_duplicate_lines(frame(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
