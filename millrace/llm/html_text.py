@@ -100,22 +100,64 @@ def events(page: str) -> Iterator[tuple[int, str, str]]:
         yield -1, stack.pop(), ""
 
 
-def described(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's label, tag and classes, and whether it is noise by its tag, its names or being hidden."""
+NAMED, HIDDEN = 1, 2
+
+
+def described(tag: str, attributes: str) -> tuple[str, int]:
+    """The element's label, tag and classes, and whether it is noise: by its tag or names (NAMED) or being hidden (HIDDEN).
+
+    A name is noise when all of its words are: ``cookie-notice`` is, ``no-sidebar`` and ``article-header`` are not.
+    """
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag, tag in NOISE_TAGS
-    noise, classes = tag in NOISE_TAGS, ""
+        return tag, NAMED * (tag in NOISE_TAGS)
+    noise, classes = NAMED * (tag in NOISE_TAGS), ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden":
-            noise = True
+            noise = HIDDEN
         else:
-            noise |= tag not in ("html", "body", *ARTICLE_TAGS) and not NOISE_NAMES.isdisjoint(PIECES.findall(value))
+            if not noise and tag not in ("html", "body", *ARTICLE_TAGS):
+                noise = NAMED * any(NOISE_NAMES.issuperset(words) for part in value.split() if (words := PIECES.findall(part)))
             if name == "class":
                 classes = "." + ".".join(value.split())
     return tag + classes, noise
 
 
+def described_events(page: str) -> list[tuple[int, str, str, int]]:
+    """(kind, tag, label or text, noise) of every event.
+
+    An element that is noise by tag or name is none when a main element is in it, or an article and
+    the page has none outside of noise.
+    """
+    found: list[tuple[int, str, str, int]] = []
+    path: list[int] = []
+    around: list[int] = []
+    holds: dict[int, bool] = {}
+    hidden, outside = 0, False
+    for kind, tag, text in events(page):
+        noise = 0
+        if kind == 1:
+            text, noise = described(tag, text)
+            if noise == NAMED:
+                around.append(len(found))
+            hidden += noise == HIDDEN
+            path.append(noise)
+            if tag in ARTICLE_TAGS and not hidden:
+                outside |= not around
+                for k in around:
+                    holds[k] = holds.get(k, False) or tag == "main"
+        elif kind == -1:
+            closed = path.pop()
+            hidden -= closed == HIDDEN
+            if closed == NAMED:
+                around.pop()
+        found.append((kind, tag, text, noise))
+    for k, main in holds.items():
+        if main or not outside:
+            found[k] = (*found[k][:3], 0)
+    return found
+
+
 # A wrapper node is [label, optional, repeated, slot chars, children]; a text slot has the label "".
 Node = list
 
@@ -124,7 +166,7 @@ def page_tree(page: str) -> Node:
     """The page as a wrapper of its own: noise left out, alike neighbours folded into repeated groups."""
     root: Node = [ROOT, 0, 0, 0, []]
     path, skipped = [root], []
-    for kind, tag, text in events(page):
+    for kind, tag, text, noise in described_events(page):
         if kind == 0:
             if not skipped and (size := len(text.strip())):
                 children = path[-1][4]
@@ -136,13 +178,12 @@ def page_tree(page: str) -> Node:
             if skipped:
                 skipped.append(tag)
                 continue
-            label, noise = described(tag, text)
             if noise:
                 skipped.append(tag)
             elif tag in INLINE or tag in VOID or len(path) > DEEPEST:
                 path.append(path[-1])
             else:
-                node: Node = [label, 0, 0, 0, []]
+                node: Node = [text, 0, 0, 0, []]
                 path[-1][4].append(node)
                 path.append(node)
         elif skipped:
@@ -240,7 +281,7 @@ def page_text(page: str, region: str | None) -> str:
     path: list[str] = []
     opened: list[tuple[bool, bool]] = []
     skipped = 0
-    for kind, tag, text in events(page):
+    for kind, tag, text, noise in described_events(page):
         if kind == 0:
             if not skipped:
                 texts["page"].append(text)
@@ -257,7 +298,10 @@ def page_text(page: str, region: str | None) -> str:
             if skipped:
                 skipped += 1
                 continue
-            label, noise = described(tag, text)
+            if noise == NAMED and region:
+                # An element on the way to the region is no noise, whatever this page names it.
+                own = "/" + "/".join(p for p in (*path, text) if p)
+                noise *= own != region and not region.startswith(own + "/")
             if noise:
                 skipped = 1
                 continue
@@ -265,7 +309,7 @@ def page_text(page: str, region: str | None) -> str:
                 opened.append((False, False))
                 path.append("")
                 continue
-            path.append(label)
+            path.append(text)
             hit = bool(region) and "/" + "/".join(p for p in path if p) == region
             article = tag in ARTICLE_TAGS
             opened.append((hit, article))

@@ -248,6 +248,20 @@ def test_page_edges(spark):
     assert html_text.page_texts(df.limit(0)).count() == 0
 
 
+def test_wrappers_named_after_noise_keep_the_article(spark):
+    body = '<article><div class="article-header"><h1>Head</h1></div><p>one two</p><div class="ad">buy</div></article>'
+    wraps = ['<div class="content no-sidebar">%s</div>', '<div id="layout-with-sidebar">%s</div>', '<div class="page comments-open">%s</div>', '<form id="f">%s</form>',
+             '<div class="widget">%s</div>', '<div id="cookie-notice">ok?</div><div class="sidebar"><article>teaser</article></div>%s']
+    pages = [(k, f"http://h{k}/", f"<html><body><nav>m</nav>{w % body}<footer>z</footer></body></html>", "t") for k, w in enumerate(wraps)]
+    pages.append((90, "http://r/1", '<body><div class="x"><p>plain text of a page</p></div></body>', "t"))
+    pages.append((91, "http://r/2", '<body><div class="x" id="menu"><p>kept here</p></div></body>', "t"))
+    pages.append((92, "http://n/", '<body><p>kept</p><div class="cookie-notice">ok?</div><div hidden><main>no</main></div></body>', "t"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    out = {r.page_id: r.text for r in html_text.page_texts(df).collect()}
+    assert [out[k] for k in range(len(wraps))] == ["Head one two"] * len(wraps)
+    assert (out[90], out[91], out[92]) == ("plain text of a page", "kept here", "kept")
+
+
 def test_wrapper_of_a_host():
     one = html_text.page_tree("<body><div class=x><p>a</p><p>b</p></div></body>")
     two = html_text.page_tree("<body><div class=x><h2>t</h2><p>c</p></div><span>q</span></body>")
