@@ -28,14 +28,14 @@ UPPER[ord("A") : ord("Z") + 1] = 1
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 FEATURES = 6
-FLOORS = (0.6, 0.12, 0.04, 0.12, 0.08, 0.04)
-"""Least standard deviation per feature, in its own unit: rates that are zero in most texts have no spread of their own."""
+FLOORS = (0.3, 0.06, 0.02, 0.1, 0.08, 0.02)
+"""Least standard deviation per feature, in its own unit: rates that are zero in most texts have no spread of their own, and one repeated line of five is no sign."""
 LEAST_ROWS = 60
 """Groups with fewer rows are pooled by language, and pools with fewer over all languages."""
 KEEP_SHARE = 0.75
 STEPS = 3
-CUT_OFF = 60.0
-"""Squared distance beyond which a text is rejected; a chi-square of six degrees passes it once in 1e10."""
+CUT_OFF = 22.458
+"""Squared distance beyond which a text is rejected: the 0.999 quantile of a chi-square of six degrees."""
 CONSISTENCY = 1.0 / 0.7
 """Undoes the shrinking of the covariance of the closer three quarters."""
 

@@ -190,6 +190,26 @@ def test_outliers_are_rejected_and_estimates_resist_them(spark):
     assert not any(out[k].kept for k, *_ in odd)
 
 
+def test_each_kind_of_outlier_is_rejected(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: [f"w{'abcdefgh'[: 2 + int(x)]}{rng.integers(1000)}" for x in rng.integers(0, 6, n)]
+    lines_of = lambda words: "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10))
+    plain = [(k, lines_of(text(int(rng.integers(60, 200)))), "en", "a") for k in range(300)]
+    odd = []
+    for k in range(4):
+        words = text(100)
+        # Lines of four words between the same one: too short for repeated words to fail the base rules.
+        half = "\n".join(" ".join(text(4)) + "\nsame" for _ in range(10))
+        odd.append((1000 + k, lines_of([w.upper() if j % 10 < 6 else w for j, w in enumerate(words)]), "en", "a"))
+        odd.append((1010 + k, lines_of([w + "|" if j % 10 < 3 else w for j, w in enumerate(words)]), "en", "a"))
+        odd.append((1020 + k, half + "\nsame" * 4, "en", "a"))
+    once = [(2000 + k, lines_of(text(40)) + "\nwab1 wab2\nwab1 wab2", "en", "a") for k in range(4)]
+    out = {r.doc_id: r for r in quality_rules.quality_verdicts(docs_of(spark, plain + odd + once)).collect()}
+    assert sum(not out[k].kept for k, *_ in plain) <= 3
+    assert all(out[k].kept for k, *_ in once)
+    assert not any(out[k].base_failed or out[k].kept for k, *_ in odd)
+
+
 # HTML text
 
 
