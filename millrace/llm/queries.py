@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontamination, html_text, lines, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
+from millrace.llm import bpe, collocations, decontamination, html_text, lines, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
 from millrace.llm.frames import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,52 @@ FROM firsts
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_records(index).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = r"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM cut
+), f1 AS (
+  SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(ws) AS w1 FROM pieces) GROUP BY ALL
+), sizes AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang
+), f2 AS (
+  SELECT lang, p[1] AS w1, p[2] AS w2, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: [ws[i], ws[i + 1]])) AS p FROM pieces)
+  GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+  SELECT lang, p[1] AS w1, p[2] AS w2, p[3] AS w3, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: [ws[i], ws[i + 1], ws[i + 2]])) AS p FROM pieces)
+  GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (
+    SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL
+), two AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+  LEFT JOIN longer g ON g.lang = c.lang AND g.w1 = c.w1 AND g.w2 = c.w2
+  WHERE g.f IS NULL OR 100 * g.f < 50 * c.f
+), cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3 AS phrase, c.f AS a, x1.f AS l1, y1.f AS r1, x2.f AS l2, y2.f AS r2,
+         (1000000::HUGEINT * c.f * c.f) // (x1.f::HUGEINT * y1.f) AS s1, (1000000::HUGEINT * c.f * c.f) // (x2.f::HUGEINT * y2.f) AS s2
+  FROM f3 c JOIN f1 x1 ON x1.lang = c.lang AND x1.w1 = c.w1 JOIN f2 y1 ON y1.lang = c.lang AND y1.w1 = c.w2 AND y1.w2 = c.w3
+  JOIN f2 x2 ON x2.lang = c.lang AND x2.w1 = c.w1 AND x2.w2 = c.w2 JOIN f1 y2 ON y2.lang = c.lang AND y2.w1 = c.w3
+), scored AS (
+  SELECT * FROM two UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored
+)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, s.n, k.score::BIGINT AS score
+FROM ranked k JOIN sizes s ON s.lang = k.lang WHERE k.rank <= 2000
+"""
+
+
+@query(OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

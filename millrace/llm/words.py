@@ -67,8 +67,12 @@ class Hashes:
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text the number of its first word (and the total)."""
-    solid = ~SPACE[raw]
-    inner = offsets[1:-1]
+    return solid_spans(~SPACE[raw], offsets)
+
+
+def solid_spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_spans``, for the runs of bytes that are marked ``solid``."""
+    raw, inner = solid, offsets[1:-1]
     begins, stops = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     stops[:-1] &= ~solid[1:]
