@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, collocations, decontamination, html_text, lines, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
+from millrace.llm import bpe, collocations, decontamination, html_text, lexical_search, lines, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
 from millrace.llm.frames import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,41 @@ FROM ranked k JOIN sizes s ON s.lang = k.lang WHERE k.rank <= 2000
 @query(OP11_SQL)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), totals AS (
+  SELECT count(*) FILTER (len(ws) > 0) AS docs, sum(len(ws))::BIGINT AS terms FROM worded
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), occurring AS (
+  SELECT doc_id, len(ws)::BIGINT AS n, unnest(ws) AS term FROM worded
+), postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM occurring WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings CROSS JOIN totals GROUP BY term
+), parts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) AS part
+  FROM postings CROSS JOIN totals
+), scores AS (
+  SELECT item_id, doc_id, sum(w * part)::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN parts USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query(OP12_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
