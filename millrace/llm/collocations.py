@@ -79,7 +79,11 @@ def occurrences(documents: DataFrame, text_col: str, lang_col: str, seed: int) -
                 borders = np.concatenate([[0], np.cumsum(BORDER[raw])])[starts]
                 at = np.arange(len(starts)) + borders
                 at = at - np.repeat(at[first[:-1][counts > 0]], counts[counts > 0])
-                seen, place, n = np.unique(words, return_index=True, return_counts=True)
+                seen, place, same, n = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
+                # Words that differ from the first of their hash go along, so that the clash is seen.
+                check = Hashes(raw ^ np.uint8(seed ^ 0x80)).of(starts, ends)
+                clash = np.flatnonzero(check != check[place][same]) if len(words) else place
+                seen, place, n = np.append(seen, words[clash]), np.append(place, clash), np.append(n, np.ones(len(clash), n.dtype))
                 found = pa.StructArray.from_arrays(
                     [
                         pa.array(seen.view(np.int64)),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, collocations, decontamination, html_text, lexical_search, lines, near_duplicates, quality_model, quality_rules, repeats, url_filter, warc
+from millrace.llm import bpe, collocations, decontamination, html_text, lexical_search, lines, near_duplicates, personal_data, quality_model, quality_rules, repeats, url_filter, warc
 from millrace.llm.frames import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -213,3 +213,13 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical_search.build_index(table(spark, sf_dir, "documents"))
     return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    plain = F.filter("found", lambda s: s["plain"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    others = [F.array_remove(F.transform(plain, lambda s: s["kind"]), k) for k in personal_data.KINDS]
+    counts = [(F.size(plain) - F.size(rest)).cast("long").alias(f"n_{k}") for k, rest in zip(personal_data.KINDS, others)]
+    return found.select("doc_id", *counts, F.sha2(written(plain), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
