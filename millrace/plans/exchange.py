@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import maintenance as m
 from millrace.plans import maintenance
+from millrace.operators import lexical_index, vector_index
 from millrace.plans.registry import query
 from millrace.session import shared_folder
 from millrace.sources import readers, sinks
@@ -124,11 +125,31 @@ def streamed_append(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(spark.read.schema(TABLES["events"] + ", batch bigint").parquet(target))
 
 
-@query("S13 A23", "SELECT source AS source_type, count(*) AS chunks FROM documents GROUP BY 1")
+_TOKENS = "len(regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)*'))"
+
+
+@query(
+    "S13 A23",
+    f"""SELECT source AS source_type, count(*) AS chunks, count_if({_TOKENS} > 0) AS searchable, sum({_TOKENS})::BIGINT AS tokens, count(vec_id) AS vectors
+    FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1""",
+)
 def rebuilt_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks, postings and filed vectors, written twice over, and read back by source."""
     docs = readers.table(spark, sf, "documents")
+    vectors = vector_index.build_index(readers.table(spark, sf, "embeddings")).filed
     root = _place(spark, "index")
     for _ in range(2):
-        paths = sinks.rebuild_index({"chunks": docs.select("doc_id", "source", "text")}, root)
-    stored = spark.read.schema("doc_id bigint, source string, text string").parquet(paths["chunks"])
-    return stored.groupBy(F.col("source").alias("source_type")).agg(F.count(F.lit(1)).alias("chunks"))
+        tables = {
+            "chunks": docs.select("doc_id", "source", "text"),
+            "postings": lexical_index.index_tables(docs, "doc_id", "text"),
+            "vectors": vectors,
+        }
+        paths = sinks.rebuild_index(tables, root)
+    chunks, postings, filed = (spark.read.parquet(paths[name]) for name in tables)
+    heads = postings.where("term is null").select(F.explode(F.arrays_zip("ids", "lengths")).alias("d"))
+    heads = heads.select(F.col("d.ids").alias("doc_id"), F.col("d.lengths").alias("length"))
+    found = chunks.select("doc_id", "source").join(heads, "doc_id").join(filed.select(F.col("id").alias("doc_id"), "list"), "doc_id", "left")
+    return found.groupBy(F.col("source").alias("source_type")).agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("length") > 0).alias("searchable"),
+        F.sum("length").alias("tokens"), F.count("list").alias("vectors"),
+    )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import DOTTED_TOKENS
-from millrace.operators import corpus, evaluation, graph, retrieval as r
+from millrace.functions.text import DOTTED_TOKENS, HYPHEN_TOKENS
+from millrace.operators import corpus, evaluation, graph, lexical_index, retrieval as r, vector_index
 from millrace.plans.registry import query
 from millrace.sources.readers import table
 
@@ -25,6 +25,21 @@ def lexical(spark: SparkSession, sf: str) -> DataFrame:
     return r.bm25_scores(documents(spark, sf), questions(spark, sf), "doc_id", "text", "query_id", "question")
 
 
+_INDEXES: dict[tuple[str, str, str], lexical_index.LexicalIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf: str, pattern: str = HYPHEN_TOKENS) -> lexical_index.LexicalIndex:
+    """The index of the documents, built by the first query of an application that needs it."""
+    key = spark.sparkContext.applicationId, sf, pattern
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical_index.build_index(documents(spark, sf), "doc_id", "text", pattern)
+    return _INDEXES[key]
+
+
+def keyword(spark: SparkSession, sf: str, k: int, **options) -> DataFrame:
+    return lexical_index.search(stored_index(spark, sf), questions(spark, sf), k, "query_id", "question", "doc_id", **options)
+
+
 def _bm25_sql(queries: str) -> str:
     """Okapi BM25 of a ``q(query_id, question)`` relation against all documents."""
     return f"""WITH q AS ({queries}),
@@ -52,7 +67,7 @@ def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T4 R1", BM25 + _RANKED.format(src="(SELECT * FROM sc WHERE score > 0)", k=12))
 def keyword_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    return r.top_k(lexical(spark, sf), "query_id", "doc_id", 12).withColumn("score", F.round("score", 6))
+    return keyword(spark, sf, 12)
 
 
 # Every document has a score; without a shared term it is 0.
@@ -62,8 +77,7 @@ _ALL = """(SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT que
 
 @query("T5", BM25 + _RANKED.format(src=_ALL, k=5))
 def keyword_top_k_unfloored(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = r.filled_top_k(lexical(spark, sf), documents(spark, sf), questions(spark, sf), "query_id", "doc_id", 5)
-    return ranked.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return keyword(spark, sf, 5, fill=True)
 
 
 @query(
@@ -76,8 +90,7 @@ def scoped_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """French documents plus the shared source, filtered before the cut to the best."""
     docs = documents(spark, sf).withColumn("shared", F.col("source") == "src1")
     scope = r.in_scope(docs, line="fr", line_column="lang", shared="shared").select("doc_id")
-    scores = lexical(spark, sf).join(scope, "doc_id", "left_semi")
-    return r.top_k(scores, "query_id", "doc_id", 15).withColumn("score", F.round("score", 6))
+    return keyword(spark, sf, 15, scope=scope)
 
 
 @query(
@@ -87,7 +100,7 @@ def scoped_top_k(spark: SparkSession, sf: str) -> DataFrame:
 )
 def target_ranks(spark: SparkSession, sf: str) -> DataFrame:
     targets = questions(spark, sf).select("query_id", F.col("query_id").alias("doc_id"))
-    return r.rank_of(lexical(spark, sf), documents(spark, sf), targets, "query_id", "doc_id")
+    return lexical_index.rank_of(stored_index(spark, sf), questions(spark, sf), targets, "query_id", "question", "doc_id")
 
 
 _DENSE = """dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
@@ -112,6 +125,29 @@ def dense_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
+_VECTORS: dict[tuple[str, str], vector_index.VectorIndex] = {}
+
+
+def stored_vectors(spark: SparkSession, sf: str) -> vector_index.VectorIndex:
+    """The inverted file of the embeddings, built by the first query of an application that needs it."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _VECTORS:
+        _VECTORS[key] = vector_index.build_index(table(spark, sf, "embeddings"))
+    return _VECTORS[key]
+
+
+@query(
+    "R2",
+    """WITH dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 20 = 0) """ + _RANKED.format(src="dn", k=10),
+)
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every twentieth one, exact, by lists."""
+    asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_index.search(stored_vectors(spark, sf), asked, 10, exact=True)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("R2")
 def dense_lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -137,7 +173,7 @@ def arms(spark: SparkSession, sf: str, each: int = 12) -> tuple[DataFrame, DataF
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = questions(spark, sf).join(vectors, F.col("query_id") == F.col("doc_id")).select("query_id", "embedding")
     dense = r.dense_top_k(vectors, asked, each, doc="doc_id")
-    return dense, r.top_k(lexical(spark, sf), "query_id", "doc_id", each)
+    return dense, keyword(spark, sf, each)
 
 
 HYBRID = BM25.rstrip() + ", " + _DENSE.format(
@@ -222,8 +258,8 @@ def multi_query_fusion(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf).select("query_id", F.posexplode(parts).alias("i", "question")).select(
         (F.col("query_id") * 1000 + F.col("i") + 1).alias("query_id"), "question"
     )
-    scores = r.bm25_scores(documents(spark, sf), asked, "doc_id", "text", "query_id", "question")
-    ranked = r.top_k(scores, "query_id", "doc_id", 15).withColumn("request_id", F.expr("query_id div 1000"))
+    ranked = lexical_index.search(stored_index(spark, sf), asked, 15, "query_id", "question", "doc_id")
+    ranked = ranked.withColumn("request_id", F.expr("query_id div 1000"))
     fused = r.fuse_queries(ranked, "request_id", "query_id", "doc_id")
     return fused.select(
         "request_id", "doc_id", F.round("fused", 9).alias("fused"),
