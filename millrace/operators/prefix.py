@@ -212,3 +212,87 @@ def grouped_quantiles(
         return (low.cast("double") + (high - low).cast("double") * (place - F.floor(place))).alias(name)
 
     return found.select(*keys, "n", *sums, *[between(n, f) for n, f in fractions.items()])
+
+
+# The sketch's rank error is one part in SKETCH; a bracket reaches MARGIN such parts to either side.
+SKETCH = 1000
+MARGIN = 2
+# Values inside the brackets of a column that one window orders; more are ordered in ranges.
+WINDOW_VALUES = 1_000_000
+
+
+def _interpolated(name: str, fraction: float) -> Column:
+    place = F.lit(fraction) * (F.col("n") - 1)
+    low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+    return (low + (high - low) * (place - F.floor(place))).alias(name)
+
+
+def _column_brackets(df: DataFrame, values: Sequence[Column], fractions: Sequence[float], margin: float) -> list[tuple[int, list[tuple[float | None, float | None]]]]:
+    """Per column the number of its values and a bracket around each rank; None is an open end."""
+    ends = [min(max(f + side * margin / SKETCH, 0.0), 1.0) for f in fractions for side in (-1, 1)]
+    row = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.percentile_approx(v, ends, SKETCH).alias(f"q{i}") for i, v in enumerate(values)],
+    ).first()
+    found = []
+    for i in range(len(values)):
+        q = row[f"q{i}"] or [None] * len(ends)
+        pairs = [
+            (q[2 * j] if f - margin / SKETCH > 0 else None, q[2 * j + 1] if f + margin / SKETCH < 1 else None)
+            for j, f in enumerate(fractions)
+        ]
+        found.append((row[f"n{i}"], pairs))
+    return found
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], fractions: Mapping[str, float], label: str = "column") -> DataFrame:
+    """(label, n, quantiles): exact linear-interpolation quantiles of some numeric columns, nulls left out.
+
+    All columns share each of three scans: mergeable sketches put a bracket around every rank, a
+    count says how many values lie below and inside, and the values inside, a few in a thousand,
+    are counted and ordered. Should a rank lie outside its bracket, which the error of a sketch
+    rules out, wider brackets are taken, at last open ones.
+    """
+    spark = df.sparkSession
+    values = [F.col(c).cast("double") for c in columns]
+    asked = list(fractions.values())
+    for margin in (MARGIN, 10 * MARGIN, SKETCH):
+        brackets = _column_brackets(df, values, asked, margin)
+        entries, counted = [], []
+        for i, (column, v, (_, pairs)) in enumerate(zip(columns, values, brackets)):
+            held = [(F.lit(True) if a is None else v >= a) & (F.lit(True) if b is None else v <= b) for a, b in pairs]
+            kept = F.lit(False)
+            for one in held:
+                kept = kept | one
+            entries.append(F.when(kept & v.isNotNull(), F.struct(F.lit(column).alias(label), v.alias("__v"))))
+            counted.append(F.count_if(kept & v.isNotNull()).alias(f"in{i}"))
+            for j, ((a, _), one) in enumerate(zip(pairs, held)):
+                below = F.lit(False) if a is None else v < a
+                # Below the bracket, in all and in none of the others; and inside it.
+                counted += [F.count_if(below).alias(f"b{i}_{j}"), F.count_if(below & ~kept).alias(f"g{i}_{j}"), F.count_if(one).alias(f"h{i}_{j}")]
+        row = df.agg(*counted).first()
+        missed = False
+        for i, (n, pairs) in enumerate(brackets):
+            for j, f in enumerate(asked):
+                start, place = row[f"b{i}_{j}"], f * (n - 1)
+                missed = missed or (n > 0 and not (start <= int(place) and -(-place // 1) < start + row[f"h{i}_{j}"]))
+        if not missed:
+            break
+    inside = df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy(label, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    if max(row[f"in{i}"] for i in range(len(columns))) > WINDOW_VALUES:
+        ranked = running_totals(inside, [label], ["__v"], {"__before": F.col("__c")})
+    else:
+        order = Window.partitionBy(label).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = inside.withColumn("__before", F.coalesce(F.sum("__c").over(order), F.lit(0)))
+    of = lambda make: F.element_at(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), make(i))]), F.col(label))
+    picks = []
+    for j, (name, f) in enumerate(fractions.items()):
+        low, high = (of(lambda i, e=e: F.lit(brackets[i][1][j][e]).cast("double")) for e in (0, 1))
+        start = F.col("__before") + of(lambda i: F.lit(row[f"g{i}_{j}"]))
+        held = (low.isNull() | (F.col("__v") >= low)) & (high.isNull() | (F.col("__v") <= high))
+        place = F.lit(f) * (of(lambda i: F.lit(brackets[i][0])) - 1)
+        for end, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks.append(F.max(F.when(held & (start <= rank) & (rank < start + F.col("__c")), F.col("__v"))).alias(f"{name}_{end}"))
+    known = spark.createDataFrame([(c, n) for c, (n, _) in zip(columns, brackets)], f"`{label}` string, n bigint")
+    found = known.join(ranked.groupBy(label).agg(*picks), label, "left")
+    return found.select(label, "n", *[_interpolated(n, f) for n, f in fractions.items()])

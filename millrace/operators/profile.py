@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.prefix import grouped_quantiles
+from millrace.operators.prefix import column_quantiles
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -51,8 +51,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for i, c in enumerate(columns)
         ]
     ).select(F.inline(F.array(*[f"s{i}" for i in range(len(columns))])))
-    long = _long(df, columns, "double")
-    middle = grouped_quantiles(long, ["column"], "value", {"median": 0.5})
+    middle = column_quantiles(df, columns, {"median": 0.5})
     return basics.join(middle.select("column", "median"), "column")
 
 

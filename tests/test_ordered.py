@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import history
 from millrace.operators.history import _median_walk
-from millrace.operators.prefix import grouped_quantiles, range_edges, range_of, running_totals
+from millrace.operators import prefix
+from millrace.operators.prefix import column_quantiles, grouped_quantiles, range_edges, range_of, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +143,27 @@ def test_text_orders_are_cut_too(spark):
     assert len(range_edges(rows, ["id"], 16)["id"]) >= 12
     plan = ran._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("sketch, most", [(1000, 200_000), (20, 5), (3, 5)])
+def test_quantiles_from_brackets_are_exact(spark, monkeypatch, sketch, most):
+    """Whatever the width of the brackets, and whether one window or ranges order what is inside."""
+    monkeypatch.setattr(prefix, "SKETCH", sketch)
+    monkeypatch.setattr(prefix, "WINDOW_VALUES", most)
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"key": rng.choice(["a", "b", None], 4000, p=[0.8, 0.15, 0.05]), "x": np.round(rng.lognormal(size=4000), 2), "y": rng.integers(0, 4, 4000)})
+    frame.loc[::37, "x"] = None
+    rows = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in frame.itertuples(index=False, name=None)], "key string, x double, y long")
+    fractions = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q99": 0.99, "q100": 1.0}
+    both = {r["column"]: r for r in column_quantiles(rows, ["x", "y"], fractions).collect()}
+    for c in ("x", "y"):
+        assert np.allclose([both[c][q] for q in fractions], frame[c].quantile(list(fractions.values())))
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "key string, x double")
+    assert grouped_quantiles(none, ["key"], "x", {"m": 0.5}).count() == 0
+    assert [r["m"] for r in grouped_quantiles(none, [], "x", {"m": 0.5}).collect()] in ([], [None])
+    empty = spark.createDataFrame([(None, None)], "key string, x double")
+    assert grouped_quantiles(empty, ["key"], "x", {"m": 0.5}).first()["m"] is None
+    assert [r["m"] for r in column_quantiles(empty, ["x"], {"m": 0.5}).collect()] == [None]
