@@ -19,6 +19,7 @@ from millrace.session import split_count
 
 _BUCKET = "__range"
 _SUB = "__subrange"
+TREE_EDGES = 64
 
 
 Edge = float | str
@@ -67,13 +68,26 @@ def range_edges(
     return found
 
 
+def _range_tree(value: Column, edges: Sequence[Edge], first: int) -> Column:
+    """The search as nested conditions, which compile; ``edges`` start at number ``first``."""
+    if not edges:
+        return F.lit(2 * first)
+    at = len(edges) // 2
+    edge = F.lit(edges[at])
+    low, high = _range_tree(value, edges[:at], first), _range_tree(value, edges[at + 1 :], first + at + 1)
+    return F.when(value < edge, low).when(value == edge, 2 * (first + at) + 1).otherwise(high)
+
+
 def range_of(value: Column, edges: Sequence[Edge]) -> Column:
     """Monotone range number of ``value``; a value equal to an edge has a range of its own.
 
-    The edges are a constant of the plan and are searched by halving.
+    The edges are a constant of the plan and are searched by halving: by conditions, or beyond
+    ``TREE_EDGES`` in an array.
     """
     if not edges:
         return F.lit(0)
+    if len(edges) <= TREE_EDGES:
+        return F.when(value.isNull(), 0).otherwise(_range_tree(value, [e if isinstance(e, str) else float(e) for e in edges], 0))
     constant = F.array(*[F.lit(e if isinstance(e, str) else float(e)) for e in edges])
     steps = []
     step = 1

@@ -7,9 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import history
-from millrace.operators.history import _median_walk
-from millrace.operators import prefix
+from millrace.operators import history, prefix
+from millrace.operators.history import _prior_medians
 from millrace.operators.prefix import column_quantiles, grouped_quantiles, range_edges, range_of, running_totals
 
 
@@ -82,14 +81,14 @@ def test_prior_median_in_chunks(spark, frame, ordered, chunk_rows):
     assert np.allclose(both["m"], both["m_w"], equal_nan=True)
 
 
-def test_median_walk_with_kept_values():
+def test_prior_medians_with_kept_values():
     rng = np.random.default_rng(5)
     for _ in range(20):
         prior, own = rng.integers(0, 9, 40).astype(float), rng.integers(0, 9, 12).astype(float)
         below = 8
         kept = np.sort(prior)[below:-8]
         values = np.concatenate([kept, own])
-        got = _median_walk(values, np.arange(len(kept), len(values)), below, len(prior))
+        got = _prior_medians(values, len(kept), below, len(prior))
         want = [np.median(np.concatenate([prior, own[:i]])) for i in range(len(own))]
         assert got.tolist() == want
 
