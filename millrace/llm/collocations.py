@@ -3,8 +3,8 @@
 A text is cut into pieces at ``.,;:!?`` and line ends, a piece into words at blanks and tabs. The
 relation of length k has one row for each place where k neighbouring words of a piece stand:
 ``at``, a position that grows by one from word to word and by more over the end of a piece, and
-the words' 64-bit hashes. It is stored in blocks, one row of packed arrays per document, sorted by
-``at``. A step joins the relation of length k with itself at the next position, which is one pass
+the words' 64-bit hashes. It is stored in blocks, rows of packed arrays sorted by ``at``: the whole
+pieces of about ``BLOCK_WORDS`` words of a document. A step joins the relation of length k with itself at the next position, which is one pass
 over two sorted columns, counts groups, and keeps for the next step only occurrences of frequent
 groups.
 
@@ -35,7 +35,9 @@ TOP = 2000
 ABSORBED = 50
 UNKNOWN = "und"
 FILTER_BITS = 1 << 25
-COUNTED_AT_ONCE = 2_000_000
+COUNTED_AT_ONCE = 1_000_000
+BLOCK_WORDS = 128
+TEXT_BYTES = 2 << 20
 
 BORDER = np.zeros(256, bool)
 BORDER[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -57,6 +59,20 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return Hashes(raw ^ np.uint8(seed)).of(starts, ends)
 
 
+def block_bounds(at: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where blocks begin, and the number of words: a piece goes with the block its first word falls into."""
+    n = len(at)
+    if not n:
+        return np.zeros(1, np.int64)
+    heads = np.ones(n, bool)
+    heads[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
+    head = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+    block = (head - first[doc]) // BLOCK_WORDS
+    edges = np.ones(n, bool)
+    edges[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+    return np.append(np.flatnonzero(edges), n)
+
+
 def occurrences(documents: DataFrame, text_col: str, lang_col: str, seed: int) -> DataFrame:
     """The relation of length 1 with, in rows of their own, the words that were seen and their counts.
 
@@ -65,7 +81,7 @@ def occurrences(documents: DataFrame, text_col: str, lang_col: str, seed: int) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", TEXT_BYTES):
                 raw, offsets = byte_view(batch.column("_text"))
                 raw = LOWER[raw]
                 starts, ends, first = solid_spans(SOLID[raw], offsets)
@@ -76,9 +92,10 @@ def occurrences(documents: DataFrame, text_col: str, lang_col: str, seed: int) -
                 code = np.repeat(lang.indices.to_numpy(), counts)
                 words = word_hashes(raw, starts, ends, seed)
                 words = mix(words ^ of_lang[code]) if len(words) else words
-                borders = np.concatenate([[0], np.cumsum(BORDER[raw])])[starts]
-                at = np.arange(len(starts)) + borders
-                at = at - np.repeat(at[first[:-1][counts > 0]], counts[counts > 0])
+                at = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(BORDER[raw])])[starts]
+                doc = np.repeat(np.arange(len(counts)), counts)
+                bounds = block_bounds(at, doc, first)
+                at = at - np.repeat(at[bounds[:-1]], np.diff(bounds))
                 seen, place, same, n = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
                 # Words that differ from the first of their hash go along, so that the clash is seen.
                 check = Hashes(raw ^ np.uint8(seed ^ 0x80)).of(starts, ends)
@@ -93,10 +110,9 @@ def occurrences(documents: DataFrame, text_col: str, lang_col: str, seed: int) -
                     ],
                     names=["h", "lang", "word", "n"],
                 )
-                bounds = pa.array(first.astype(np.int32))
-                blocks = [pa.ListArray.from_arrays(bounds, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(words.view(np.int64)))]
-                kind = pa.list_(found.type)
-                yield pa.record_batch([*blocks, pa.nulls(len(counts), kind)], names=["at", "w", "seen"])
+                edges = pa.array(bounds.astype(np.int32))
+                blocks = [pa.ListArray.from_arrays(edges, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(edges, pa.array(words.view(np.int64)))]
+                yield pa.record_batch([*blocks, pa.nulls(len(bounds) - 1, pa.list_(found.type))], names=["at", "w", "seen"])
                 none = [pa.nulls(1, b.type) for b in blocks]
                 yield pa.record_batch([*none, pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), found)], names=["at", "w", "seen"])
 
@@ -263,7 +279,7 @@ def collocations(
 
     A null text has no words, nor has one of marks and blanks alone; a null language is ``und``.
     Repeated rows count each. Other columns are not read, whatever their names. A very long text is
-    one block; a task holds a slice of texts or ``COUNTED_AT_ONCE`` occurrences. An empty table, or one
+    many blocks, a very long piece is one; a task holds a slice of texts or ``COUNTED_AT_ONCE`` occurrences. An empty table, or one
     without frequent phrases, gives an empty result.
     """
     for seed in range(256):
