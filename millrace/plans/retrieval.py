@@ -395,14 +395,29 @@ def mean_of_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "A25 U2",
-    EVAL + f"""SELECT 'm-' || method AS method, 'all' AS category, {_AVG}, count(*) AS questions FROM res WHERE method IN ('src1', 'src2') GROUP BY method
-    UNION ALL SELECT 'm-' || method, category, {_AVG}, count(*) FROM res WHERE method IN ('src1', 'src2') GROUP BY method, category""",
+    "A25",
+    EVAL + f"""SELECT method, 'all' AS category, {_AVG}, count(*) AS questions FROM res GROUP BY method
+    UNION ALL SELECT method, category, {_AVG}, count(*) FROM res GROUP BY method, category""",
 )
 def evaluation_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = results(spark, sf)
-    methods = {f"m-{m}": rows.where(F.col("method") == m).drop("method") for m in ("src1", "src2")}
-    return evaluation.summary(evaluation.union_methods(methods))
+    return evaluation.summary(results(spark, sf))
+
+
+_UNITED = """, un AS (SELECT 'labelled' AS method, category, context_recall, faithfulness, factual_correctness FROM res
+    UNION ALL SELECT 'reversed', category, 1 - context_recall, 1 - faithfulness, 1 - factual_correctness FROM res)
+"""
+
+
+@query(
+    "U2",
+    EVAL.rstrip() + _UNITED + f"""SELECT method, 'all' AS category, {_AVG}, count(*) AS questions FROM un GROUP BY method
+    UNION ALL SELECT method, category, {_AVG}, count(*) FROM un GROUP BY method, category""",
+)
+def united_methods(spark: SparkSession, sf: str) -> DataFrame:
+    """Two methods' result tables as one: the labels, and a judge that always says the reverse."""
+    rows = results(spark, sf).drop("method", "doc_id")
+    reverse = rows.select("category", *[(1 - F.col(m)).alias(m) for m in evaluation.METRICS])
+    return evaluation.summary(evaluation.union_methods({"labelled": rows, "reversed": reverse}))
 
 
 @query("F7", EVAL + "SELECT method, category, doc_id FROM res WHERE method IN ('src1', 'src7') AND category = 'en'")

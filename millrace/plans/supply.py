@@ -103,7 +103,7 @@ def find_lanes(spark: SparkSession, sf: str) -> DataFrame:
 _PRIOR = "(PARTITION BY {k} ORDER BY dispatch_ts, order_seq, shipment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
+def _features(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     rows = shipments(spark, sf).withColumn(
         "lane", planning.lane_key(F.col("origin_warehouse"), F.col("destination_store"))
     )
@@ -114,7 +114,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("service_level_factor", mapped(F.col("service_level"), SERVICE_FACTORS, 1.0)).select(
         "shipment_id", "order_seq", "carrier", "lane", "origin_warehouse", "dispatch_date", "dispatch_dow",
         "dispatch_month", "is_peak_season", "is_weather_season", "is_weekend_dispatch", "service_level_factor",
-        "actual_transit_days", "was_late",
+        "actual_transit_days", "was_late", *more,
     )
     base = rows = stage(rows, "shipments")
     # One sketch of the order serves all three steps.

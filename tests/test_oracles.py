@@ -9,7 +9,6 @@ from oracle_check import connect, difference, rows_of_duck, rows_of_spark
 from millrace.plans import catalog
 
 CATALOG = catalog()
-HEAVY = {"challenger_metrics", "transit_importance", "transit_model_metrics", "score_reasons", "scorecard_coefficients"}
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +24,6 @@ def test_matches_oracle(spark, duck, name):
     assert difference(names, got, want) is None
 
 
-@pytest.mark.parametrize("name", [n for n, q in CATALOG.items() if not q.sql and n not in HEAVY])
+@pytest.mark.parametrize("name", [n for n, q in CATALOG.items() if not q.sql])
 def test_gives_rows(spark, name):
     assert CATALOG[name].run(spark, DATA).count() > 0
