@@ -31,6 +31,7 @@ from millrace.llm.words import LOWER, Hashes, mix, solid_spans
 FREQUENT = 10
 LONGEST = 3
 TOP = 2000
+SALTS = 32
 # A candidate goes if a longer one that holds it is at least this percentage as frequent.
 ABSORBED = 50
 UNKNOWN = "und"
@@ -313,6 +314,10 @@ def collocations(
     ranked = kept[0]
     for more in kept[1:]:
         ranked = ranked.unionByName(more)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = ranked.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    # The best of each part of a language first, so that one task ranks no more than SALTS * top rows.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+    some = ranked.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top).drop("rank")
+    whole = Window.partitionBy("lang").orderBy(*order)
+    best = some.withColumn("rank", F.row_number().over(whole).cast("long")).filter(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
