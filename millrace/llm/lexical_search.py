@@ -25,7 +25,7 @@ from millrace.llm.collocations import strings_of
 from millrace.llm.frames import byte_view, slices, stage
 from millrace.llm.words import LOWER, Hashes, solid_spans
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 # Queries are searched in blocks of about so many (query, term) pairs, one pass over the index each.
 PAIRS_AT_ONCE = 1 << 18
 TOP = 10
