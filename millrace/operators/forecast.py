@@ -174,13 +174,22 @@ def best_models(summary: DataFrame) -> DataFrame:
     )
 
 
-def forecast_ahead(series: DataFrame, best: DataFrame, horizon: int = 14, period: int = 7) -> DataFrame:
-    """Forward forecast of each series with its best model."""
-    made = forecast_baselines(series, horizon, period)
+def forecast_ahead(
+    series: DataFrame, best: DataFrame, horizon: int = 14, period: int = 7, learned: tuple[list[float], float] | None = None
+) -> DataFrame:
+    """Forward forecast of each series with its best model, the ``learned`` one among them where it is given.
+
+    A series whose best model makes no forecast here is an error, not a gap.
+    """
+    shown = ["series_key", "model", "forecast_date", "predicted_value"]
+    made = forecast_baselines(series, horizon, period).withColumn("predicted_value", half_even(F.col("predicted"), 2)).select(shown)
+    if learned is not None:
+        path = forecast_autoregression(series, horizon, learned).withColumn("model", F.lit("autoregression"))
+        made = made.unionByName(path.select(shown))
     chosen = best.select("series_key", F.col("best_model").alias("model"))
-    return made.join(chosen, ["series_key", "model"]).select(
-        "series_key", "model", "forecast_date", half_even(F.col("predicted"), 2).alias("predicted_value")
-    )
+    found = chosen.join(made.withColumn("__made", F.lit(True)), ["series_key", "model"], "left")
+    gap = F.raise_error(F.concat(F.lit("no forecast of model "), "model")).cast("string")
+    return found.withColumn("model", F.when(F.col("__made"), F.col("model")).otherwise(gap)).select(shown)
 
 
 def lagged(series: DataFrame, lags: int, chunk_rows: int = 100_000) -> DataFrame:

@@ -142,3 +142,12 @@ def autoregression_backtest(spark: SparkSession, sf: str) -> DataFrame:
 def autoregression_forecast(spark: SparkSession, sf: str) -> DataFrame:
     rows = series(spark, sf)
     return forecast.forecast_autoregression(rows, 14, forecast.fit_autoregression(rows, 7))
+
+
+@query("P12 P5")
+def selected_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Every series ahead by the best of the baselines and the autoregression."""
+    rows = series(spark, sf)
+    held_out = forecast.fit_autoregression(rows, 7, leave_out=14 * 6)
+    best = forecast.best_models(forecast.backtest_summary(forecast.backtest_steps(rows, learned=held_out)))
+    return forecast.forecast_ahead(rows, best, learned=forecast.fit_autoregression(rows, 7))
