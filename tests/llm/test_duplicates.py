@@ -229,55 +229,60 @@ def test_lines_against_plain_grouping(spark):
     assert lines.without_duplicate_lines(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_all_lines_of_a_bucket_meet(spark):
-    """Two close lines share one bucket, where lines of other texts sort before and between them."""
-    mask = (1 << 64) - 1
-    words = [f"w{k}x" for k in range(4000)]
-    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
-    bits = {r.w: np.array([(r.h & mask) >> k & 1 for k in range(64)]) for r in hashed}
+def test_all_lines_of_a_block_meet(spark):
+    """Two close lines share blocks, where lines of other texts sort before and between them."""
     rng = random.Random(4)
-
-    def blocks(of):
-        half = sum(bits[w] for w in of) > len(of) // 2
-        whole = sum(1 << k for k, one in enumerate(half) if one)
-        return whole, [whole >> low & (1 << width) - 1 for low, width in lines.BLOCKS]
-
-    def shared(a, b):
-        return [k for k in range(5) if a[1][k] == b[1][k]]
-
-    while True:
-        one = rng.sample(words, 15)
-        two = [*one[:7], rng.choice(words), *one[8:]]
-        a, b = blocks(one), blocks(two)
-        both = shared(a, b)
-        if len(both) == 2 and (a[0] ^ b[0]).bit_count() <= lines.DISTANCE:
-            break
-    # Lines of one word have its hash; the bucket's keys are planted, so that others sort between the two.
-    i, j = both
-    (low_i, width_i), (low_j, width_j) = lines.BLOCKS[i], lines.BLOCKS[j]
-    held = ((1 << width_i) - 1) << low_i | ((1 << width_j) - 1) << low_j
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    lo, hi = sorted((signed(a[0]), signed(b[0])))
-    between = set()
-    while len(between) < 3:
-        x = signed((rng.randrange(lo + 1, hi) & mask & ~held) | a[0] & held)
-        if lo < x < hi and x not in (lo, hi):
-            between.add(x)
-    first = next(x for x in (signed((rng.getrandbits(64) & ~held) | a[0] & held) for _ in range(10_000)) if x < lo)
-    planted = {"planted" + "abcd"[k] * 20: x for k, x in enumerate([first, *sorted(between)])}
-    docs = frame(spark, [(1, " ".join(one)), (2, " ".join(two)), *((10 + k, t) for k, t in enumerate(planted))])
+    one = [f"w{k}x" for k in rng.sample(range(4000), 15)]
+    two = [*one[:7], "changed", *one[8:]]
+    docs = frame(spark, [(1, " ".join(one)), (2, " ".join(two)), *((10 + k, "planted" + "abcdef"[k] * 20) for k in range(6))])
     whole = lines.line_places
+    held = {r.id: r for r in whole(docs, "doc_id", "text", 1).collect()}
+    assert set(held[1].blocks) & set(held[2].blocks)
+    lo, hi = sorted((held[1].sim, held[2].sim))
+    sims = [lo - 2, lo - 1, *(lo + (hi - lo) // 5 * k for k in range(1, 5))]
 
     def placed(*args):
         places = whole(*args)
-        sim = F.col("sim")
-        for k, x in enumerate(planted.values()):
+        sim, planted = F.col("sim"), F.col("id") >= 10
+        for k, x in enumerate(sims):
             sim = F.when(F.col("id") == 10 + k, F.lit(x)).otherwise(sim)
-        return places.withColumn("sim", sim)
-
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(lines, "line_places", placed)
-        assert [(r.doc_id, r.line) for r in lines.duplicate_lines(docs).collect()] == [(2, 0)]
+        blocks = F.when(planted, F.array(*map(F.lit, held[1].blocks))).otherwise(F.col("blocks"))
+        return places.withColumn("sim", sim).withColumn("blocks", blocks).withColumn("words", F.when(planted, 15).otherwise(F.col("words")).cast("long"))
+
+    for crowd in (lines.CROWD, 4):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lines, "line_places", placed)
+            patch.setattr(lines, "CROWD", crowd)
+            assert [(r.doc_id, r.line) for r in lines.duplicate_lines(docs).collect()] == [(2, 0)]
+
+
+def test_recall_of_near_lines(spark):
+    """Share of planted pairs of edit similarity 0.8 and more that are found, by words and changed words."""
+    rng = random.Random(12)
+    shapes = [(10, 1), (15, 1), (20, 1), (20, 3), (20, 4), (30, 4), (40, 4), (40, 8), (60, 9), (60, 12)]
+    rows, of = [], {}
+    for n, changed in shapes:
+        for _ in range(60):
+            words = [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}x" for _ in range(n)]
+            other = list(words)
+            for k in rng.sample(range(n), changed):
+                other[k] = f"{rng.choice('abcdefgh')}{rng.randrange(5000)}y"
+            of[len(rows) + 1] = (n, changed)
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    found = defaultdict(int)
+    for r in lines.duplicate_lines(frame(spark, rows)).collect():
+        found[of[r.doc_id]] += 1
+    recall = {s: found[s] / 60 for s in shapes}
+    print(recall)
+    assert all(recall[s] >= 0.9 for s in shapes if s[1] <= 0.15 * s[0]), recall
+    assert sum(recall.values()) / len(recall) >= 0.9, recall
+
+
+def test_lines_pass_clashing_columns(spark):
+    text = "one common line of several words here"
+    docs = frame(spark, [(1, text), (2, text)]).withColumn("_gone", F.lit(7)).withColumn("key", F.lit("k")).withColumn("n_removed", F.lit(99))
+    got = lines.without_duplicate_lines(docs, counts=("_lines", "_removed")).orderBy("doc_id").collect()
+    assert [(r._gone, r.key, r.n_removed, r._removed, r.text) for r in got] == [(7, "k", 99, 0, text), (7, "k", 99, 1, "")]
 
 
 def test_lines_use_no_python(spark):
