@@ -186,24 +186,32 @@ def running_totals(
     )
 
 
+def _row_count(weight: Column | None) -> Column:
+    if weight is None:
+        return F.count("__v")
+    return F.sum(F.when(F.col("__v").isNotNull(), weight).otherwise(F.lit(0)))
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     fractions: Mapping[str, float],
     sums: Mapping[str, Column] | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, plus the non-null count ``n``.
 
     Equal values are counted first, so only distinct values are ordered, and the
     ordering of a large key is spread over ranges. ``sums`` adds plain sums per key
-    from the same pass; rows with a null value count there only.
+    from the same pass; rows with a null value count there only. With ``weight`` a row
+    stands for so many rows of its value, as in a table of counts.
     """
     keys, sums = list(keys), dict(sums or {})
     rows = df.withColumn("__v", F.col(value))
     edges = range_edges(rows, ["__v"])
     counts = rows.groupBy(*keys, "__v").agg(
-        F.count("__v").alias("__c"), *[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()]
+        _row_count(weight).alias("__c"), *[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()]
     )
     ranked = running_totals(
         counts, keys, ["__v"], {"__before": F.col("__c")}, totals=True, edges=edges

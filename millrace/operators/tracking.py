@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import contains_fold, half_even, hours_between
 from millrace.operators.planning import lane_key
 from millrace.operators.prefix import grouped_quantiles
+from millrace.session import stage
 
 MIN_LANE_HISTORY = 5
 
@@ -40,41 +41,63 @@ def order_status(requests: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def lane_history(delivered: DataFrame) -> DataFrame:
-    """Shipment count and exact median transit per lane."""
-    lanes = delivered.withColumn(
+def history_cells(delivered: DataFrame) -> DataFrame:
+    """Counts and sums per warehouse, store, carrier and transit time, stored once.
+
+    They add up to every coarser grain, lane, carrier, warehouse and all, so the
+    deliveries are read once however many grains are asked for. The table has no more
+    rows than ``delivered``, and far fewer where transit times repeat.
+    """
+    transit, late = F.col("actual_transit_days"), (F.col("actual_arrival_ts") > F.col("promised_ts")).cast("double")
+    cells = delivered.groupBy("origin_warehouse", "destination_store", "carrier", "actual_transit_days").agg(
+        F.count(F.lit(1)).alias("cell_rows"),
+        F.count(transit).alias("timed"),
+        F.sum(transit).alias("days"),
+        F.count(late).alias("judged"),
+        F.sum(late).alias("late"),
+    )
+    return stage(cells, "cells")
+
+
+def lane_history(cells: DataFrame) -> DataFrame:
+    """Shipment count and exact median transit per lane, from ``history_cells``."""
+    lanes = cells.withColumn(
         "lane", lane_key(F.col("origin_warehouse"), F.col("destination_store"))
     ).where(F.col("lane").isNotNull())
+    rows = F.col("cell_rows")
     return grouped_quantiles(
-        lanes, ["lane"], "actual_transit_days", {"lane_median": 0.5}, {"lane_shipments": F.lit(1)}
+        lanes, ["lane"], "actual_transit_days", {"lane_median": 0.5}, {"lane_shipments": rows}, weight=rows
     ).select("lane", "lane_median", "lane_shipments")
 
 
-def group_history(delivered: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Mean transit and late rate per carrier or warehouse over all history."""
-    late = (F.col("actual_arrival_ts") > F.col("promised_ts")).cast("double")
+def overall_median(cells: DataFrame) -> Column:
+    """The median transit of all deliveries, as a scalar subquery."""
+    found = grouped_quantiles(cells, [], "actual_transit_days", {"m": 0.5}, weight=F.col("cell_rows"))
+    return found.select("m").scalar()
+
+
+def group_history(cells: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Mean transit and late rate per carrier or warehouse over all history, from ``history_cells``."""
     return (
-        delivered.where(F.col(key).isNotNull())
+        cells.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(
-            F.avg("actual_transit_days").alias(f"{prefix}_hist_mean_transit"),
-            F.avg(late).alias(f"{prefix}_hist_late_rate"),
+            F.try_divide(F.sum("days"), F.sum("timed")).alias(f"{prefix}_hist_mean_transit"),
+            F.try_divide(F.sum("late"), F.sum("judged")).alias(f"{prefix}_hist_late_rate"),
         )
     )
 
 
 def with_history(live: DataFrame, delivered: DataFrame) -> DataFrame:
     """Live rows with lane, carrier and warehouse history; unseen lanes take the overall median."""
-    overall = (
-        grouped_quantiles(delivered, [], "actual_transit_days", {"m": 0.5}).select("m").scalar()
-    )
-    warehouse = group_history(delivered, "origin_warehouse", "warehouse").drop("warehouse_hist_late_rate")
+    cells = history_cells(delivered)
+    warehouse = group_history(cells, "origin_warehouse", "warehouse").drop("warehouse_hist_late_rate")
     return (
         live.withColumn("lane", lane_key(F.col("origin_warehouse"), F.col("destination_store")))
-        .join(lane_history(delivered), "lane", "left")
-        .join(group_history(delivered, "carrier", "carrier"), "carrier", "left")
+        .join(lane_history(cells), "lane", "left")
+        .join(group_history(cells, "carrier", "carrier"), "carrier", "left")
         .join(warehouse, "origin_warehouse", "left")
-        .withColumn("overall_median", overall)
+        .withColumn("overall_median", overall_median(cells))
         .withColumn("lane_hist_median_transit", F.coalesce("lane_median", "overall_median"))
         .withColumn("lane_hist_shipments", F.coalesce("lane_shipments", F.lit(0)))
     )
@@ -82,17 +105,15 @@ def with_history(live: DataFrame, delivered: DataFrame) -> DataFrame:
 
 def predict_arrivals(live: DataFrame, delivered: DataFrame) -> DataFrame:
     """Predicted arrival from lane history (5 shipments or more) or the overall median."""
-    overall = (
-        grouped_quantiles(delivered, [], "actual_transit_days", {"m": 0.5}).select("m").scalar()
-    )
-    lanes = lane_history(delivered)
+    cells = history_cells(delivered)
+    lanes = lane_history(cells)
     days = F.when(F.col("lane_shipments") >= MIN_LANE_HISTORY, F.col("lane_median")).otherwise(
         F.col("overall_median")
     )
     rows = (
         live.withColumn("lane", lane_key(F.col("origin_warehouse"), F.col("destination_store")))
         .join(lanes, "lane", "left")
-        .withColumn("overall_median", overall)
+        .withColumn("overall_median", overall_median(cells))
         .withColumn("days", days)
         .withColumn(
             "predicted_ts", F.col("dispatch_ts") + F.make_dt_interval(secs=F.col("days") * 86400)

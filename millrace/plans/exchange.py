@@ -12,7 +12,7 @@ from millrace.plans import maintenance
 from millrace.operators import lexical_index, vector_index
 from millrace.plans.registry import query
 from millrace.session import shared_folder
-from millrace.sources import readers, sinks
+from millrace.sources import json_arrays, readers, sinks
 from millrace.sources.schemas import TABLES
 from millrace.streaming.append import append_stream
 
@@ -60,6 +60,14 @@ def json_records(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(TABLES["benchmark"]).json(path)
 
 
+@query("S7 S10", "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
+def json_array_records(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as files of one JSON array each, read back in byte ranges."""
+    path = json_arrays.write_json_array(readers.table(spark, sf, "documents"), _place(spark, "json"))
+    back = json_arrays.json_array(spark, path, TABLES["documents"])
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+
+
 @query(
     "S6",
     "SELECT lang AS folder, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY 1",
@@ -122,7 +130,7 @@ def streamed_append(spark: SparkSession, sf: str) -> DataFrame:
     events.where("event_type <> 'view'").write.mode("append").parquet(source)
     stream = spark.readStream.schema(TABLES["events"]).option("maxFilesPerTrigger", 1).parquet(source)
     append_stream(stream, target, "event_id", marks).awaitTermination()
-    return _stored(spark.read.schema(TABLES["events"] + ", batch bigint").parquet(target))
+    return _stored(spark.read.schema(TABLES["events"] + ", batch bigint, key_bucket int").parquet(target))
 
 
 _TOKENS = "len(regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)*'))"

@@ -60,6 +60,19 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# What lanes and tracking read of a shipment.
+LANE_COLUMNS = [
+    "shipment_id", "origin_warehouse", "destination_store", "carrier", "units", "dispatch_ts", "promised_ts",
+    "actual_arrival_ts", "actual_transit_days",
+]
+TRACKED_COLUMNS = [*LANE_COLUMNS, "order_id", "region", "status"]
+
+
+def lane_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The joined shipments, stored once for the passes of lane statistics."""
+    return stage(shipments(spark, sf).select(*LANE_COLUMNS), "lanes")
+
+
 SHIP = """WITH ship AS (
   SELECT concat_ws('-', 'SHP', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS shipment_id,
     l_orderkey * 8 + l_linenumber AS order_seq, 'ORD-' || l_orderkey AS order_id, sn.n_name AS origin_warehouse,
@@ -85,7 +98,7 @@ LANES = SHIP + """, lanes AS (SELECT lane, carrier, count(*) AS shipments,
 
 @query("A15 T2 X13 X19 X29 F18 X10", LANES + "SELECT * FROM lanes")
 def lane_performance(spark: SparkSession, sf: str) -> DataFrame:
-    return planning.lane_performance(shipments(spark, sf))
+    return planning.lane_performance(lane_rows(spark, sf))
 
 
 @query(
@@ -96,7 +109,7 @@ def lane_performance(spark: SparkSession, sf: str) -> DataFrame:
 )
 def find_lanes(spark: SparkSession, sf: str) -> DataFrame:
     # Lanes by nation and carrier rarely reach the floor at test scale; the floor is lifted here.
-    lanes = planning.lane_performance(shipments(spark, sf)).withColumn("sufficient_volume", F.lit(True))
+    lanes = planning.lane_performance(lane_rows(spark, sf)).withColumn("sufficient_volume", F.lit(True))
     return planning.find_lanes(lanes, "nation_1", worst=True)
 
 
@@ -192,14 +205,13 @@ def usable_shipments_by_day(spark: SparkSession, sf: str) -> DataFrame:
     return usable.groupBy("dispatch_date").agg(F.count(F.lit(1)).alias("usable"))
 
 
-def live(spark: SparkSession, sf: str) -> DataFrame:
-    return shipments(spark, sf).where("status = 'in_transit'").drop("actual_arrival_ts", "actual_transit_days").withColumn(
+def tracked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Live and delivered shipments, out of one stored join."""
+    rows = stage(shipments(spark, sf).select(*TRACKED_COLUMNS), "tracked")
+    live = rows.where("status = 'in_transit'").drop("actual_arrival_ts", "actual_transit_days").withColumn(
         "actual_arrival_ts", F.lit(None).cast("timestamp_ntz")
     )
-
-
-def delivered(spark: SparkSession, sf: str) -> DataFrame:
-    return shipments(spark, sf).where("status = 'delivered'")
+    return live, rows.where("status = 'delivered'")
 
 
 def stores(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,7 +243,7 @@ _PREDICTED_COLUMNS = [
 
 @query("M26 X5 X9", LIVE + f"SELECT {_PREDICTED} FROM timed")
 def predicted_arrivals(spark: SparkSession, sf: str) -> DataFrame:
-    return tracking.predict_arrivals(live(spark, sf), delivered(spark, sf)).select(*_PREDICTED_COLUMNS)
+    return tracking.predict_arrivals(*tracked(spark, sf)).select(*_PREDICTED_COLUMNS)
 
 
 @query(
@@ -244,7 +256,7 @@ def predicted_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     CROSS JOIN overall o""",
 )
 def live_history_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tracking.with_history(live(spark, sf), delivered(spark, sf))
+    rows = tracking.with_history(*tracked(spark, sf))
     return rows.select(
         "shipment_id", "lane_hist_median_transit", "lane_hist_shipments",
         "carrier_hist_mean_transit", "carrier_hist_late_rate", "warehouse_hist_mean_transit",
@@ -260,7 +272,7 @@ def live_history_features(spark: SparkSession, sf: str) -> DataFrame:
 )
 def find_late_shipments(spark: SparkSession, sf: str) -> DataFrame:
     found = tracking.find_shipments(
-        live(spark, sf), delivered(spark, sf), stores(spark, sf), "asia", late_only=True
+        *tracked(spark, sf), stores(spark, sf), "asia", late_only=True
     )
     return found.select(*_PREDICTED_COLUMNS, "destination_store", "carrier", "matches")
 
@@ -279,7 +291,7 @@ def find_late_shipments(spark: SparkSession, sf: str) -> DataFrame:
 )
 def track_shipments(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "events").select(F.concat(F.lit(" ord-"), "event_id").alias("identifier")).distinct()
-    return tracking.track_shipments(asked, live(spark, sf), delivered(spark, sf))
+    return tracking.track_shipments(asked, *tracked(spark, sf))
 
 
 @query(
@@ -394,7 +406,7 @@ def find_store_cover(spark: SparkSession, sf: str) -> DataFrame:
     FROM lanes""",
 )
 def planning_summary(spark: SparkSession, sf: str) -> DataFrame:
-    lanes = planning.lane_performance(shipments(spark, sf)).withColumn(
+    lanes = planning.lane_performance(lane_rows(spark, sf)).withColumn(
         "sufficient_volume", F.col("shipments") >= 2
     )
     return planning.view_summary(cover(spark, sf), lanes)

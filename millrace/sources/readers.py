@@ -41,11 +41,6 @@ def sample_with_count(df: DataFrame, rows: int = 5, most: int = 10) -> DataFrame
     return df.limit(min(rows or 5, most)).withColumn("total_row_count", total)
 
 
-def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON file holding one array of records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def text_documents(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """One row per file below ``root``: path, file name, stem, parent folder, whole text."""
     files = (

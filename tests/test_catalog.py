@@ -34,3 +34,9 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = CATALOG["month_scan"].run(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
     assert "o_orderpriority" not in plan
+
+
+@pytest.mark.parametrize("name", ["lane_performance", "predicted_arrivals", "live_history_features", "track_shipments"])
+def test_shipments_are_joined_once(spark, name):
+    plan = CATALOG[name].run(spark, DATA)._jdf.queryExecution().toString()
+    assert "lineitem.parquet" not in plan and "l_orderkey" not in plan
