@@ -318,6 +318,37 @@ def test_benchmark_hits_and_paraphrases(spark):
     assert decontamination.benchmark_hits(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_items_of_any_length_are_found(spark):
+    """Verbatim and with a tenth of the words changed, inside longer texts; a half of an item is no hit."""
+    rng = random.Random(8)
+    sizes = [10, 30, 96, 97, 150, 400, 1000, 2000, 5000]
+    items = [(k, sentence(rng, size)) for k, size in enumerate(sizes)]
+    docs = [(1000 + k, sentence(rng, rng.randrange(5, 400))) for k in range(150)]
+    for k, text in items:
+        words = text.split()
+        changed = ["changed" if rng.random() < 0.1 and j < len(words) - 4 else w for j, w in enumerate(words)]
+        for at, own in ((k, words), (100 + k, changed), (200 + k, words[: len(words) // 2])):
+            docs.append((at, " ".join([sentence(rng, 37 + k), *own, sentence(rng, 211)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r.doc_id, r.item_id) for r in decontamination.benchmark_hits(frame(spark, docs), bench).collect()}
+    assert out == {(at + k, k) for k in range(len(sizes)) for at in (0, 100)}
+
+
+def test_sections_partition_the_words():
+    for size in (1, 63, 95, 96, 97, 160, 5000):
+        item = decontamination.Item(1, tuple(range(size)), ())
+        parts = item.sections()
+        assert tuple(w for p in parts for w in p) == item.words
+        assert len(parts) == 1 or all(48 <= len(p) <= 96 for p in parts)
+
+
+def test_sampled_passages_count_copies_once(spark):
+    docs = spark.range(20000).selectExpr("id as doc_id", "if(id % 3 = 0, 'one very common text of several words', concat('text number ', id, ' here')) as text")
+    passages = decontamination.sampled_passages(docs, "text", 20000)
+    assert passages.count() == passages.distinct().count()
+    assert 2000 < passages.count() <= 4096
+
+
 def test_candidate_search_recalls_what_full_vectors_find(spark):
     """Windows that a brute-force cosine over whole TF-IDF vectors puts at 0.5 or more."""
     folder = DATA.replace("0.001", "0.01")
