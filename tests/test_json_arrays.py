@@ -55,7 +55,7 @@ def test_ranges_of_any_size_give_the_same_records(split, tmp_path, monkeypatch):
 
 
 def test_one_large_array_is_read_by_several_tasks(spark, tmp_path):
-    rows = drawn(5, 400)
+    rows = drawn(5, 120)
     path = tmp_path / "one.json"
     path.write_text("﻿ \n" + json.dumps(rows, indent=1), encoding="utf-8")
     assert order(read(spark, path, 997)) == order(rows)
@@ -70,7 +70,7 @@ def test_a_folder_with_empty_files_lines_and_extra_fields(spark, tmp_path):
     (folder / "b.json").write_text(" [ ] ")
     (folder / "c.json").write_text('{"k": 1, "s": "{[", "more": [1, {"k": 9}]}\n{"k": 2}\n')
     (folder / "d.json").write_text('[{"k": 3, "s": "' + "x" * 300_000 + '"}, {}]')
-    got = read(spark, folder, 100)
+    got = read(spark, folder, 5000)
     assert sorted(((r["k"] or 0), len(r["s"] or "")) for r in got) == [(0, 0), (1, 2), (2, 0), (3, 300_000)]
 
 
