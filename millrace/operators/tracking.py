@@ -137,18 +137,15 @@ def track_shipments(requests: DataFrame, live: DataFrame, delivered: DataFrame)
     """
     columns = ["shipment_id", "order_id", "status", "destination_store", "carrier", "promised_ts", "actual_arrival_ts"]
 
-    def keyed(df: DataFrame, level: int) -> DataFrame:
-        entry = F.struct(F.lit(level).alias("level"), *columns)
-        keys = F.explode(F.array_distinct(F.array("shipment_id", "order_id")))
-        return df.select(keys.alias("needle"), entry.alias("entry"))
-
-    known = keyed(live, 0).unionByName(keyed(delivered, 1))
+    known = live.select(F.lit(0).alias("level"), *columns).unionByName(delivered.select(F.lit(1).alias("level"), *columns))
+    entry = F.struct("level", *columns).alias("entry")
+    first = F.min_by("entry", F.struct("entry.level", "entry.shipment_id")).alias("entry")
     asked = requests.select("identifier", F.upper(F.trim("identifier")).alias("needle"))
-    # Only requested keys reach the aggregation, which keeps one row per key early.
-    wanted = known.join(asked.select("needle").distinct(), "needle", "left_semi")
-    best = wanted.groupBy("needle").agg(
-        F.min_by("entry", F.struct("entry.level", "entry.shipment_id")).alias("entry")
-    )
+    needles = asked.select("needle").distinct()
+    # An order's rows become one before they move; shipments move once, by their own id.
+    by_order = known.select(F.col("order_id").alias("needle"), entry).groupBy("needle").agg(first).join(needles, "needle")
+    by_shipment = known.select(F.col("shipment_id").alias("needle"), entry).join(needles, "needle", "left_semi")
+    best = by_order.unionByName(by_shipment).groupBy("needle").agg(first)
     done = F.col("entry.level") == 1
     late = F.col("entry.actual_arrival_ts") > F.col("entry.promised_ts")
     hours = hours_between(F.col("entry.actual_arrival_ts"), F.col("entry.promised_ts"))
