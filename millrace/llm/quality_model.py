@@ -9,6 +9,7 @@ class, and whether it repeats one of the two words before it.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ BUCKETS = 1 << 16
 """Size of the hashed feature space; bounds the model, and with it all that is gathered or broadcast."""
 SAMPLE_ROWS = 16_384
 """Labels that the fit reads at most, taken by a hash of the id."""
+SLICE_BYTES = 1 << 18
+"""Bytes of text whose n-grams are held at once; they take about 100 bytes each."""
 LEAST_TEXTS = 3
 SMOOTHING = 1.0
 COST = 0.05
@@ -60,6 +63,10 @@ def indicators(batch: pa.RecordBatch, text: str) -> Iterator[np.ndarray]:
     again = np.zeros(len(starts), np.int64)
     again[1:] |= hashes[1:] == hashes[:-1]
     again[2:] |= 2 * (hashes[2:] == hashes[:-2])
+    # A text's first words repeat none of the text before it.
+    head = first[:-1][first[:-1] < len(starts)]
+    again[head[head + 1 < len(starts)] + 1] &= 1
+    again[head] = 0
     shape = (((case * 5 + last) * 4 + again) * 4 + np.minimum(length // 5, 3)).astype(np.uint64)
     one = bucket(shape, 4)
     two = bucket(shape[:-1] << np.uint64(16) | shape[1:], 5)
@@ -79,6 +86,12 @@ def indicators(batch: pa.RecordBatch, text: str) -> Iterator[np.ndarray]:
         yield found
 
 
+def sliced_indicators(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batch in small slices, each with the buckets of its texts as two-byte numbers, so that a worker's memory follows neither batch nor rows."""
+    for part in slices(batch, text, SLICE_BYTES):
+        yield part, [f.astype("<u2") for f in indicators(part, text)]
+
+
 @dataclass(frozen=True)
 class Model:
     """Hinge-loss weights times log-count ratios and the squared ratios, by bucket, and the sigmoid of the margin."""
@@ -155,7 +168,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         shift = 0.0 if not len(labels) else (5.0 if labels[0] == 1 else -5.0)
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, shift)
     ratios = log_ratios(rows, labels)
-    inputs = scaled(rows, ratios)
     fold = np.random.default_rng(3).permutation(len(rows)) % FOLDS
     outer = np.zeros(len(rows))
     for k in range(FOLDS):
@@ -169,7 +181,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
             x = own_ratios[rows[i]]
             outer[i] = float(w[rows[i]] @ x) / max(1.0, float(x @ x)) ** 0.5 + b
     slope, shift = sigmoid_fit(outer, labels)
-    weights, bias = dual_descent(rows, inputs, labels)
+    weights, bias = dual_descent(rows, scaled(rows, ratios), labels)
     return Model(weights * ratios, np.square(ratios), bias, slope, shift)
 
 
@@ -201,18 +213,16 @@ def fit_quality(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col):
-                found = [f.astype(np.int32) for f in indicators(batch, text_col)]
-                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
-                yield pa.record_batch([batch.column("_id"), batch.column("_label"), lists], names=["_id", "_label", "found"])
+            for batch, found in sliced_indicators(whole, text_col):
+                packed = pa.array([f.tobytes() for f in found], pa.binary())
+                yield pa.record_batch([batch.column("_id"), batch.column("_label"), packed], names=["_id", "_label", "found"])
 
     kind = labels.schema[id_col].dataType.simpleString()
     sampled = (
         documents.select(F.col(id_col).alias("_id"), text_col)
         .join(F.broadcast(chosen), "_id")
         .select("_id", "_label", text_col)
-        .mapInArrow(extract, f"_id {kind}, _label int, found array<int>")
+        .mapInArrow(extract, f"_id {kind}, _label int, found binary")
     )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +230,10 @@ def fit_quality(
         for batch in batches:
             ids += batch.column("_id").to_pylist()
             marks += batch.column("_label").to_pylist()
-            lists = batch.column("found")
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            rows += [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:])]
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], len(rows[k]), rows[k].tobytes()))
+            rows += [np.frombuffer(found, "<u2") for found in batch.column("found").to_pylist()]
+        # Only rows that repeat an id need their buckets to be put in order.
+        often = Counter(ids)
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], len(rows[k]), rows[k].astype("<i4").tobytes() if often[ids[k]] > 1 else b""))
         model = fit([rows[k] for k in order], np.array([marks[k] for k in order], np.int64))
         numbers = [model.bias, model.slope, model.shift]
         yield pa.record_batch(
@@ -243,17 +253,19 @@ def score_quality(documents: DataFrame, model: Model, id_col: str = "doc_id", te
     """
     schema = documents.schema
     carried = list(dict.fromkeys([id_col, *keep]))
+    text = text_col if text_col in carried else "_text"
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                scores = [known.score(found) for found in indicators(batch, "_text")]
+            for batch, rows in sliced_indicators(whole, text):
+                scores = [known.score(found) for found in rows]
                 yield pa.record_batch([*(batch.column(c) for c in carried), pa.array(scores, pa.float64())], names=[*carried, "_score"])
 
     fields = ", ".join([*(f"`{c}` {schema[c].dataType.simpleString()}" for c in carried), "_score double"])
-    return documents.select(*carried, F.col(text_col).alias("_text")).mapInArrow(work, fields)
+    sent = documents.select(*carried) if text in carried else documents.select(*carried, F.col(text_col).alias(text))
+    return sent.mapInArrow(work, fields)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from oracle_check import connect, difference, rows_of_duck, rows_of_spark
@@ -106,6 +108,19 @@ def test_classifier_edges(spark):
     assert quality_model.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_indicators_take_little_memory_and_know_no_neighbours():
+    texts = [f"word {k} and word {k % 7} " * 60 + "end" for k in range(3000)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    tracemalloc.start()
+    found = [f for _, part in quality_model.sliced_indicators(batch, "text") for f in part]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and most < 60 << 20, most
+    pair = pa.record_batch([pa.array(["one end", "end one end", "two", ""])], names=["text"])
+    alone = [next(quality_model.indicators(pair.slice(k, 1), "text")).tolist() for k in range(4)]
+    assert [f.tolist() for f in quality_model.indicators(pair, "text")] == alone
+
+
 def test_dual_descent_reaches_the_optimum():
     rng = np.random.default_rng(1)
     rows = [np.sort(rng.choice(50, 8, replace=False)) for _ in range(120)]
