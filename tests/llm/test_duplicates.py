@@ -256,6 +256,27 @@ def test_all_lines_of_a_block_meet(spark):
             assert [(r.doc_id, r.line) for r in lines.duplicate_lines(docs).collect()] == [(2, 0)]
 
 
+def test_marks_bound_the_edits(spark):
+    """Two marks at most differ for each edit, and lines equal but for what is around their words have one key."""
+    rng = random.Random(21)
+    rows, edits = [], {}
+    for k in range(60):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(300)}x" for _ in range(rng.choice((5, 40, 80)))]
+        other = list(words)
+        for _ in range(rng.randrange(6)):
+            place = rng.randrange(len(other))
+            other[place : place + 1] = rng.choice(([], ["new"], ["new", other[place]]))
+            edits[k] = edits.get(k, 0) + 1
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, "12 " + " -- ".join(other).upper() + "!" * 5)]
+        rows += [(1000 + k, " ".join(other))]
+    got = {r.id: r for r in lines.line_places(frame(spark, rows), "doc_id", "text", 1).collect()}
+    for k in range(60):
+        one, two = got[2 * k], got[2 * k + 1]
+        turned = sum(((one[f"m{j}"] ^ two[f"m{j}"]) & (1 << 64) - 1).bit_count() for j in range(4))
+        assert turned <= 2 * edits.get(k, 0)
+        assert two.key == got[1000 + k].key and two.norm == got[1000 + k].norm and len(two.norm) == two.words
+
+
 def test_recall_of_near_lines(spark):
     """Share of planted pairs of edit similarity 0.8 and more that are found, by words and changed words."""
     rng = random.Random(12)
