@@ -8,6 +8,8 @@ from conftest import DATA
 from pyspark.sql import functions as F
 from test_growth import moves
 
+from millrace.operators import boosting, models
+from millrace.plans import models as plans
 from millrace.plans import supply
 from millrace.session import shared_folder, stage
 
@@ -36,3 +38,35 @@ def test_history_steps_leave_one_table(spark):
     after = [n for n in labels(spark) if n in steps]
     assert len(after) == len(before) + 1 and moves(rows, "shipment_id") == 1
     assert rows.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
+def test_a_fit_leaves_the_test_rows_only(spark, monkeypatch):
+    monkeypatch.setattr(plans, "_FITTED", {})
+    monkeypatch.setattr(models.fit_transit_model, "__defaults__", (boosting.Settings(3, 3, 0.3, 5, 1.0), ()))
+    steps = ("shipments", "lane_history", "warehouse_history", "transit", "transit_test", "binned", "meeting")
+    count = lambda: {n: labels(spark).count(n) for n in steps}
+    before = count()
+    _, test = plans._fitted_transit(spark, DATA)
+    after = count()
+    assert {n: after[n] - before[n] for n in steps} == {n: int(n == "transit_test") for n in steps}
+    assert test.count() > 0
+
+
+def test_importance_moves_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(models, "SHUFFLED_ROWS", 400, raising=False)
+    rows = spark.range(3000).select("id", (F.col("id") * 37 % 101).cast("double").alias("a"), (F.col("id") * 11 % 7).cast("double").alias("b"))
+    rows = rows.withColumn("y", F.col("a") + 0 * F.col("b"))
+    model = models.fit_transit_model(rows, ["a", "b"], [], "y", "id", boosting.Settings(40, 5, 0.4, 5, 0.1))
+    moved = []
+    stored = boosting.stage
+
+    def watched(df, label):
+        if label == "errors":
+            moved.append(moves(df, "a") + moves(df, "__d_a"))
+        return stored(df, label)
+
+    monkeypatch.setattr(boosting, "stage", watched)
+    rises = {r["feature"]: r["mae_increase_when_shuffled"] for r in models.permutation_importance(model, rows, "y", "id").collect()}
+    assert moved == [1]
+    # Two values of 0 .. 100 drawn at random lie 33.7 apart on average.
+    assert 31 < rises["a"] < 36 and rises["b"] == 0
