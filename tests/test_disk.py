@@ -32,18 +32,35 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
 
 
 def test_history_steps_leave_one_table(spark):
-    steps = ("shipments", "lane_history", "warehouse_history")
+    steps = ("shipments", "lane_history", "warehouse_history", "carrier_history")
     before = [n for n in labels(spark) if n in steps]
     rows = supply.shipment_features(spark, DATA)
     after = [n for n in labels(spark) if n in steps]
-    assert len(after) == len(before) + 1 and moves(rows, "shipment_id") == 1
+    assert len(after) == len(before) + 1 and moves(rows, "shipment_id") == 0
     assert rows.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
 
 
+def test_slices_of_keys_give_the_same_rows(spark, monkeypatch):
+    whole = supply.shipment_features(spark, DATA)
+    monkeypatch.setattr(supply, "SLICE_ROWS", 2000)
+    written = []
+    parts = supply.stage_parts
+
+    def watched(frames, label, compression):
+        frames = list(frames)
+        written.append(len(frames))
+        return parts(frames, label, compression)
+
+    monkeypatch.setattr(supply, "stage_parts", watched)
+    sliced = supply.shipment_features(spark, DATA)
+    assert written == [3, 3, 3]
+    assert sliced.count() == whole.count() and sliced.exceptAll(whole).isEmpty() and whole.exceptAll(sliced).isEmpty()
+
+
 def test_a_fit_leaves_the_test_rows_only(spark, monkeypatch):
     monkeypatch.setattr(plans, "_FITTED", {})
     monkeypatch.setattr(models.fit_transit_model, "__defaults__", (boosting.Settings(3, 3, 0.3, 5, 1.0), ()))
-    steps = ("shipments", "lane_history", "warehouse_history", "transit", "transit_test", "binned", "meeting")
+    steps = ("shipments", "lane_history", "warehouse_history", "carrier_history", "transit_test", "binned", "meeting")
     count = lambda: {n: labels(spark).count(n) for n in steps}
     before = count()
     _, test = plans._fitted_transit(spark, DATA)
